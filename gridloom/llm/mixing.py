@@ -30,22 +30,32 @@ def token_count(text: Column) -> Column:
 
 
 def topic_of(text: Column) -> Column:
-    """A coarse topic from the shape of the whole text: table, symbols, digits or prose; null and empty: empty."""
+    """A coarse topic from the shape of the whole text: table, symbols, shout or prose; null and empty: empty."""
     n = F.length(text)
-    share = lambda chars: n - F.length(F.translate(text, chars, ""))
+
+    def share(chars: str) -> Column:
+        out = F.lit(0)
+        for c in chars:
+            out = out + n - F.length(F.replace(text, F.lit(c), F.lit("")))
+        return out
+
     return (
         F.when(text.isNull() | (text == ""), F.lit("empty"))
         .when(share("|") * 50 > n, F.lit("table"))
-        .when(share("#%&*$!<>{}=;") * 25 > n, F.lit("symbols"))
-        .when(share("0123456789") * 25 > n, F.lit("digits"))
+        .when(share("#%&*$") * 25 > n, F.lit("symbols"))
+        .when(share("!") * 25 > n, F.lit("shout"))
         .otherwise(F.lit("prose"))
     )
 
 
-def cells(docs: DataFrame) -> DataFrame:
-    """``(source, lang, topic, tokens, docs)``; a null category is the category 'unknown'."""
+def measured(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, source, lang, topic, tokens)`` and held columns; a null category is the category 'unknown'."""
     named = [F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(c) for c in ("source", "lang")]
-    each = docs.select(*named, topic_of(F.col("text")).alias("topic"), token_count(F.col("text")).alias("tokens"))
+    return docs.select("doc_id", *named, topic_of(F.col("text")).alias("topic"), token_count(F.col("text")).alias("tokens"), *(F.col(c).alias(f"held_{c}") for c in keep))
+
+
+def cells(each: DataFrame) -> DataFrame:
+    """``(source, lang, topic, tokens, docs)`` of measured documents."""
     return each.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
 
 
@@ -96,11 +106,10 @@ def mix(docs: DataFrame, rate: float = RATE, rounds: int = ROUNDS, keep: tuple[s
     drawn alike; a null id is never drawn. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    fitted = probabilities(rake(scratch.save(cells(docs), "cells"), scratch), rate)
-    known = [F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(f"cell_{c}") for c in ("source", "lang")]
     keep = tuple(c for c in keep if c != "doc_id")
-    held = [F.col(c).alias(f"held_{c}") for c in keep]
-    each = docs.select("doc_id", *known, topic_of(F.col("text")).alias("topic"), token_count(F.col("text")).alias("tokens"), *held)
-    joined = each.join(fitted.select(F.col("source").alias("cell_source"), F.col("lang").alias("cell_lang"), "topic", "factor", "probability"), ["cell_source", "cell_lang", "topic"])
+    small = scratch.save(measured(docs), "measured")
+    fitted = probabilities(rake(scratch.save(cells(small), "cells"), scratch), rate)
+    each = measured(docs, keep) if keep else small
+    joined = each.join(fitted.select(*DIMENSIONS, "factor", "probability"), list(DIMENSIONS))
     chance = F.when(F.col("tokens") > 0, F.col("probability")).otherwise(F.lit(0.0))
-    return joined.select("doc_id", F.col("cell_source").alias("mix_source"), F.col("cell_lang").alias("mix_lang"), "topic", "tokens", "factor", chance.alias("probability"), F.coalesce(draw(F.col("doc_id")) < chance, F.lit(False)).alias("sampled"), *(F.col(f"held_{c}").alias(c) for c in keep))
+    return joined.select("doc_id", F.col("source").alias("mix_source"), F.col("lang").alias("mix_lang"), "topic", "tokens", "factor", chance.alias("probability"), F.coalesce(draw(F.col("doc_id")) < chance, F.lit(False)).alias("sampled"), *(F.col(f"held_{c}").alias(c) for c in keep))

@@ -117,8 +117,8 @@ def _op3() -> str:
     share = lambda chars: f"(length(text) - length(translate(text, '{chars}', '')))"
     steps = [
         f"""d as (select doc_id, coalesce(source, 'unknown') as source, coalesce(lang, 'unknown') as lang,
-  case when text is null or text = '' then 'empty' when {share("|")} * 50 > length(text) then 'table' when {share("#%&*$!<>{}=;")} * 25 > length(text) then 'symbols'
-  when {share("0123456789")} * 25 > length(text) then 'digits' else 'prose' end as topic,
+  case when text is null or text = '' then 'empty' when {share("|")} * 50 > length(text) then 'table' when {share("#%&*$")} * 25 > length(text) then 'symbols'
+  when {share("!")} * 25 > length(text) then 'shout' else 'prose' end as topic,
   cast(len(regexp_extract_all(coalesce(text, ''), '{_SPACE}')) as bigint) as tokens from documents)""",
         "c as (select source, lang, topic, cast(sum(tokens) as double) as tokens from d group by all)",
     ]
