@@ -28,3 +28,10 @@ def queries():
 
 def oracle_sql():
     return dict(_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shaded relief of the carrier grid, counted by colour."""
+    from pyspark.sql import functions as F
+
+    return _QUERIES["grid_shade"](spark, sf_dir).groupBy("color").agg(F.count("*").alias("n"))
