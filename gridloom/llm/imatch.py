@@ -46,7 +46,7 @@ class Lexicon:
         self.terms = sorted(terms)
         self.where = {t: k for k, t in enumerate(self.terms)}
         self.hashes = np.array([xxhash.xxh3_64_intdigest(t) for t in self.terms], np.uint64)
-        dice = np.array([[xxhash.xxh3_64_intdigest(t, seed + 1 + k) / 2**64 for k in range(len(CHANCES) * OF_EACH)] for t in self.terms]).reshape(len(self.terms), -1)
+        dice = np.array([[xxhash.xxh3_64_intdigest(t, seed + 1 + k) / 2**64 for k in range(len(CHANCES) * OF_EACH)] for t in self.terms]).reshape(-1, len(CHANCES) * OF_EACH)
         self.member = dice < np.repeat(CHANCES, OF_EACH)[None, :] if len(self.terms) else np.zeros((0, len(CHANCES) * OF_EACH), bool)
 
     def fingerprint(self, text: str | None) -> tuple[str, ...]:
