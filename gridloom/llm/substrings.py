@@ -25,9 +25,12 @@ def word_hashes(words: list[bytes], hashes: WordHashes) -> np.ndarray:
 
 
 def window_hashes(w: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of every k consecutive words."""
+    """A 64-bit hash of every k consecutive words, from those of the halves where k is even."""
     if len(w) < k:
         return np.empty(0, np.uint64)
+    if k % 2 == 0:
+        half = window_hashes(w, k // 2)
+        return mixed(half[: len(w) - k + 1] * np.uint64(0x100000001B3) + half[k // 2 :])
     out = np.full(len(w) - k + 1, k, np.uint64)
     for j in range(k):
         out = out * np.uint64(0x100000001B3) + mixed(w[j : len(w) - k + 1 + j] + np.uint64((int(MIX) * (j + 1)) % (1 << 64)))
@@ -44,12 +47,51 @@ def slide(x: np.ndarray, k: int, least: bool) -> np.ndarray:
     return x
 
 
-def chosen(short: np.ndarray, inside: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of every ``inside`` consecutive short windows the one of least hash: those hashes, and a mark on each short window
-    that is chosen somewhere. Equal long windows choose equal short ones, so a long window repeats only if its choice does."""
-    best = slide(short, inside, True)
-    pad = np.concatenate([np.zeros(inside - 1, np.uint64), best, np.zeros(inside - 1, np.uint64)])
-    return best, slide(pad, inside, False) == short
+class Row:
+    """Many runs of words laid end to end, so that one numpy call serves a batch.
+
+    owner: each word's run; place: its index in the run; live: where a whole window of the run starts.
+    """
+
+    def __init__(self, runs: list[np.ndarray], window: int):
+        sizes = np.array([len(r) for r in runs], np.int64)
+        self.window, self.sizes, self.begins = window, sizes, np.cumsum(sizes) - sizes
+        self.words = np.concatenate([*runs, np.empty(0, np.uint64)])
+        self.owner = np.repeat(np.arange(len(runs)), sizes)
+        self.place = np.arange(len(self.words)) - self.begins[self.owner]
+        n = max(0, len(self.words) - window + 1)
+        self.live = (self.place + window <= sizes[self.owner])[:n]
+
+    def chosen(self, short: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of every window the short window of least hash: those hashes, and the places of all that are chosen somewhere.
+
+        Equal windows choose equal short ones, so a window repeats only if its choice does.
+        """
+        inside = self.window - short + 1
+        if not len(self.live):
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
+        s = window_hashes(self.words, short)
+        best = slide(s, inside, True)
+        pad = np.zeros(inside - 1, np.uint64)
+        most = slide(np.concatenate([pad, np.where(self.live, best, np.uint64(0)), pad]), inside, False)
+        return best, np.flatnonzero((most == s) & (most != 0))
+
+    def runs(self, live: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        """(run, place, words) of neighbouring live windows, each with all its words."""
+        live = live & self.live
+        start = np.flatnonzero(live & ~np.concatenate([[False], live[:-1]]) | live & (self.place[: len(live)] == 0))
+        after = np.concatenate([live[1:], [False]]) & (self.place[1 : len(live) + 1] != 0 if len(self.place) > len(live) else np.concatenate([self.place[1:] != 0, [False]]))
+        stop = np.flatnonzero(live & ~after)
+        return [(int(self.owner[a]), int(self.place[a]), self.words[a : b + self.window].view(np.int64)) for a, b in zip(start, stop, strict=True)]
+
+    def among(self, best: np.ndarray, wanted: list) -> np.ndarray:
+        """Marks windows whose choice is among their own run's wanted hashes."""
+        if not len(best):
+            return np.zeros(0, bool)
+        size = [len(x) for x in wanted]
+        key = np.concatenate([*[np.asarray(x, np.int64).view(np.uint64) for x in wanted], np.empty(0, np.uint64)])
+        tag = lambda h, who: mixed(h + MIX * (who.astype(np.uint64) + np.uint64(1)))
+        return np.isin(tag(best, self.owner[: len(best)]), tag(key, np.repeat(np.arange(len(size)), size)))
 
 
 def levels(window: int) -> list[int]:
@@ -60,6 +102,13 @@ def levels(window: int) -> list[int]:
     return out
 
 
+def _counted(row: Row, short: int, ids: np.ndarray) -> pd.DataFrame:
+    """(h, doc_id, n) of the chosen short windows."""
+    at = row.chosen(short)[1]
+    h, d = window_hashes(row.words, short)[at] if len(at) else np.empty(0, np.uint64), ids[row.owner[at]] if len(at) else np.empty(0, np.int64)
+    return pd.DataFrame({"h": h.view(np.int64), "doc_id": d, "n": 1}).groupby(["h", "doc_id"], as_index=False, sort=False).sum()
+
+
 def _first_level(docs: DataFrame, short: int, window: int) -> DataFrame:
     """``(h, doc_id)``: the chosen short windows of every document, one row for each distinct hash of a document and how
     often it stands there."""
@@ -67,18 +116,8 @@ def _first_level(docs: DataFrame, short: int, window: int) -> DataFrame:
     def run(batches):
         hashes = WordHashes()
         for b in batches:
-            ids, out, counts = [], [], []
-            for doc_id, t in zip(b["doc_id"], b["text"], strict=True):
-                w = word_hashes(plain_words(t), hashes)
-                if len(w) < window:
-                    continue
-                s = window_hashes(w, short)
-                h, c = np.unique(s[chosen(s, window - short + 1)[1]], return_counts=True)
-                ids.append(np.full(len(h), doc_id, np.int64))
-                out.append(h.view(np.int64))
-                counts.append(c)
-            if ids:
-                yield pd.DataFrame({"h": np.concatenate(out), "doc_id": np.concatenate(ids), "n": np.concatenate(counts)})
+            row = Row([word_hashes(plain_words(t), hashes) for t in b["text"]], window)
+            yield _counted(row, short, b["doc_id"].to_numpy())
 
     return docs.mapInPandas(run, "h long, doc_id long, n long")
 
@@ -95,20 +134,16 @@ def _spans(docs_hs: DataFrame, short: int, window: int) -> DataFrame:
     def run(batches):
         hashes = WordHashes()
         for b in batches:
-            rows = []
-            for doc_id, t, hs in zip(b["doc_id"], b["text"], b["hs"], strict=True):
-                w = word_hashes(plain_words(t), hashes)
-                best, _ = chosen(window_hashes(w, short), window - short + 1)
-                rows += _runs(doc_id, 0, w, np.isin(best, np.asarray(hs, np.int64).view(np.uint64)), window)
-            yield pd.DataFrame(rows, columns=["doc_id", "at", "ws"])
+            row = Row([word_hashes(plain_words(t), hashes) for t in b["text"]], window)
+            live = row.among(row.chosen(short)[0], list(b["hs"]))
+            ids = b["doc_id"].to_numpy()
+            yield pd.DataFrame([(ids[k], at, ws) for k, at, ws in row.runs(live)], columns=["doc_id", "at", "ws"])
 
     return docs_hs.mapInPandas(run, "doc_id long, at int, ws array<long>")
 
 
-def _runs(doc_id: int, at: int, w: np.ndarray, live: np.ndarray, window: int) -> list[tuple]:
-    """Runs of live window starts, each with all its words."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], live.astype(np.int8), [0]])))
-    return [(doc_id, at + int(a), w[a : b + window - 1].view(np.int64)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+def _words(b: pd.DataFrame) -> list[np.ndarray]:
+    return [np.asarray(ws, np.int64).view(np.uint64) for ws in b["ws"]]
 
 
 def _level(spans: DataFrame, scratch: Scratch, size: int, window: int) -> DataFrame:
@@ -116,45 +151,32 @@ def _level(spans: DataFrame, scratch: Scratch, size: int, window: int) -> DataFr
 
     def rows(batches):
         for b in batches:
-            out, ids = [], []
-            for doc_id, ws in zip(b["doc_id"], b["ws"], strict=True):
-                s = window_hashes(np.asarray(ws, np.int64).view(np.uint64), size)
-                h = s[chosen(s, window - size + 1)[1]]
-                out.append(h.view(np.int64))
-                ids.append(np.full(len(h), doc_id, np.int64))
-            h, d = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out, ids))
-            yield pd.DataFrame({"h": h, "doc_id": d, "n": np.ones(len(h), np.int64)})
+            yield _counted(Row(_words(b), window), size, b["doc_id"].to_numpy())
 
     def keep(batches):
         for b in batches:
-            out = []
-            for doc_id, at, ws, hs in zip(b["doc_id"], b["at"], b["ws"], b["hs"], strict=True):
-                w = np.asarray(ws, np.int64).view(np.uint64)
-                best, _ = chosen(window_hashes(w, size), window - size + 1)
-                out += _runs(doc_id, at, w, np.isin(best, np.asarray(hs, np.int64).view(np.uint64)), window)
-            yield pd.DataFrame(out, columns=["doc_id", "at", "ws"])
+            row = Row(_words(b), window)
+            live = row.among(row.chosen(size)[0], list(b["hs"]))
+            ids, first = b["doc_id"].to_numpy(), b["at"].to_numpy()
+            yield pd.DataFrame([(ids[k], int(first[k]) + at, ws) for k, at, ws in row.runs(live)], columns=["doc_id", "at", "ws"])
 
     each = scratch.save(spans.mapInPandas(rows, "h long, doc_id long, n long").groupBy("h", "doc_id").agg(F.sum("n").alias("n")), f"rows-{size}")
     joined = spans.join(_repeated(each), "doc_id")
     return joined.mapInPandas(keep, "doc_id long, at int, ws array<long>")
 
 
-def _later(spans: DataFrame, window: int) -> DataFrame:
+def _later(spans: DataFrame, scratch: Scratch, window: int) -> DataFrame:
     """``(doc_id, starts)``: starts of windows that also start earlier, by doc_id and then place."""
 
     def rows(batches):
         for b in batches:
-            out, ids, pos = [], [], []
-            for doc_id, at, ws in zip(b["doc_id"], b["at"], b["ws"], strict=True):
-                h = window_hashes(np.asarray(ws, np.int64).view(np.uint64), window)
-                out.append(h.view(np.int64))
-                ids.append(np.full(len(h), doc_id, np.int64))
-                pos.append(at + np.arange(len(h), dtype=np.int32))
-            if out:
-                yield pd.DataFrame({"h": np.concatenate(out), "doc_id": np.concatenate(ids), "at": np.concatenate(pos)})
-
-    each = spans.mapInPandas(rows, "h long, doc_id long, at int")
-    first = each.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("h", "f")
+            row = Row(_words(b), window)
+            at = np.flatnonzero(row.live)
+            k = row.owner[at]
+            yield pd.DataFrame({"h": window_hashes(row.words, window)[at].view(np.int64), "doc_id": b["doc_id"].to_numpy()[k], "at": (b["at"].to_numpy()[k] + row.place[at]).astype(np.int32)})
+
+    each = scratch.save(spans.mapInPandas(rows, "h long, doc_id long, at int"), "windows")
+    first = scratch.save(each.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("h", "f"), "first")
     later = each.join(first, "h").filter((F.col("doc_id") != F.col("f.doc_id")) | (F.col("at") != F.col("f.at")))
     return later.groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
 
@@ -170,9 +192,11 @@ def repeated_starts(docs: DataFrame, scratch: Scratch, window: int = WINDOW) ->
     scratch.drop("repeated")
     for size in sizes[1:-1]:
         more = scratch.save(_level(spans, scratch, size, window), f"spans-{size}")
-        scratch.drop(f"rows-{size}")
+        scratch.drop(f"rows-{size}", f"spans-{size // 2}")
         spans = more
-    return scratch.save(_later(spans, window), "starts")
+    starts = scratch.save(_later(spans, scratch, window), "starts")
+    scratch.drop("windows", "first", f"spans-{sizes[-2] if len(sizes) > 1 else sizes[0]}")
+    return starts
 
 
 def covered(n: int, starts, window: int) -> np.ndarray:
