@@ -80,13 +80,13 @@ def build_lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> Lexi
     return Lexicon([bytes(t) for t in band.select("term").toPandas()["term"]])
 
 
-def in_order(docs: DataFrame, scratch: Scratch, rows_each: int = 20_000) -> DataFrame:
+def in_order(docs: DataFrame, scratch: Scratch, rows_each: int = 2000) -> DataFrame:
     """``(part, place, doc_id, text)``: documents dealt by ranges of doc_id, each part ending with the next part's first
     document (place 1; place 0 otherwise), the last part with the very first document. Null ids come last."""
     key = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     ids = docs.select(key.alias("k"))
     n = ids.count()
-    parts = max(1, min(n // rows_each + 1, 1 << 20), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 64))
+    parts = max(1, min(n // rows_each + 1, 1 << 20))
     cuts = ids.agg(F.percentile_approx("k", [j / parts for j in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
     cuts = np.unique(np.array(cuts or [], np.int64))
 
@@ -96,7 +96,6 @@ def in_order(docs: DataFrame, scratch: Scratch, rows_each: int = 20_000) -> Data
 
     firsts = {r["p"]: r["k"] for r in ids.select("k", part_of("k").alias("p")).groupBy("p").agg(F.min("k").alias("k")).collect()}
     order = sorted(firsts)
-    ends = np.array([firsts[p] for p in order], np.int64)
     before = dict(zip(order, [order[-1], *order[:-1]], strict=True)) if order else {}
 
     @F.pandas_udf("array<int>")
@@ -105,7 +104,7 @@ def in_order(docs: DataFrame, scratch: Scratch, rows_each: int = 20_000) -> Data
 
     dealt = docs.select("doc_id", "text", key.alias("k")).withColumn("p", part_of("k")).withColumn("to", also("k", "p"))
     each = dealt.select("doc_id", "text", "k", F.posexplode("to").alias("place", "part"))
-    return each.repartition(max(1, len(ends)), "part").sortWithinPartitions("part", "place", "k", "text")
+    return each.repartition("part").sortWithinPartitions("part", "place", "k", "text")
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -122,6 +121,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "imatch")
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     lexicon = spark.sparkContext.broadcast(build_lexicon(docs))
+    scratch.settle()  # the counts' shuffle files are not needed any more
 
     def row(lex, own, nxt):
         doc_id, text, f = own
