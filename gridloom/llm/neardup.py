@@ -15,10 +15,10 @@ from .graph import components
 SHINGLE = 5
 PERCENT = 75
 SLOTS = 128
-TREES = 20
+TREES = 24
 FIRST_DEPTH = 3
 LAST_DEPTH = 12
-NEIGHBOURS = 2
+NEIGHBOURS = 3
 #: Estimates of the similarity from SLOTS values stray by 0.04; pairs below are not worth a check, or not worth following.
 CHECK_FROM = 0.58
 FOLLOW_FROM = 0.30
