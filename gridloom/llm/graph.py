@@ -23,20 +23,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter(F.col("u") != F.col("v")).distinct()
 
 
-def components(edges: DataFrame, scratch: Scratch, most: int = 40) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, most: int = 40, name: str = "edges") -> DataFrame:
     """``edges(u, v)`` of integers -> ``(node, component)`` for nodes with an edge; component: the least node reachable.
 
     Null ends and loops are left out; no edges give no rows. Each round is written to the shared folder. A hot node's
     edges meet only in a partial minimum and a join that may be split, never in one task.
     """
     spark = edges.sparkSession
-    now = scratch.save(edges.select("u", "v").filter(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v"))).distinct(), "edges-0")
+    now = scratch.save(edges.select("u", "v").filter(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v"))).distinct(), f"{name}-0")
     before, step = None, 0
     while not is_empty(now):
         step += 1
-        nxt = scratch.save(_star(_star(now, True), False), f"edges-{step}")
+        nxt = scratch.save(_star(_star(now, True), False), f"{name}-{step}")
         mark = tuple(nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        scratch.drop(f"edges-{step - 1}")
+        scratch.drop(f"{name}-{step - 1}")
         now = nxt
         if mark == before:
             break

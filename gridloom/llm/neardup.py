@@ -16,6 +16,8 @@ SHINGLE = 5
 PERCENT = 75
 SLOTS = 128
 TREES = 24
+#: Trees of the first pass; the others then look only for links between what the first has not joined yet.
+FIRST_TREES = 8
 FIRST_DEPTH = 3
 LAST_DEPTH = 12
 NEIGHBOURS = 3
@@ -94,30 +96,30 @@ def tree_orders(trees: int = TREES) -> np.ndarray:
     return np.stack([rng.permutation(SLOTS)[:LAST_DEPTH] for _ in range(trees)])
 
 
-def forest(reps: DataFrame) -> DataFrame:
-    """A row per document and tree: ``region`` names tree and first slots, ``path`` holds the slots below for sorting."""
-    orders = tree_orders()
+def forest(reps: DataFrame, trees: range = range(TREES)) -> DataFrame:
+    """A row per document of ``reps(doc_id, group, sig)`` and tree: ``region`` names tree and first slots, ``path`` holds the slots below for sorting."""
+    orders = [(t, order) for t, order in enumerate(tree_orders()) if t in trees]
 
     def run(batches):
         for b in batches:
             if not len(b):
                 continue
             s = np.frombuffer(b"".join(b["sig"]), "<u4").reshape(len(b), SLOTS).astype(np.uint64)
-            for t, order in enumerate(orders):
+            for t, order in orders:
                 key = np.full(len(b), t + 1, np.uint64)
                 for j in order[:FIRST_DEPTH]:
                     key = mixed(key * MIX + s[:, j])
                 rest = np.ascontiguousarray((s[:, order[FIRST_DEPTH:]] & np.uint64(0xFFFF)).astype(">u2"))
-                yield pd.DataFrame({"region": key.view(np.int64), "path": [r.tobytes() for r in rest], "doc_id": b["doc_id"].to_numpy()})
+                yield pd.DataFrame({"region": key.view(np.int64), "path": [r.tobytes() for r in rest], "doc_id": b["doc_id"].to_numpy(), "group": b["group"].to_numpy()})
 
-    return reps.select("doc_id", "sig").mapInPandas(run, "region long, path binary, doc_id long")
+    return reps.select("doc_id", "group", "sig").mapInPandas(run, "region long, path binary, doc_id long, group long")
 
 
 def candidates(rows: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """Pairs that stand next to each other in a region's order, whose depth so follows how crowded the region is."""
+    """Pairs of different groups that stand next to each other in a region's order, whose depth so follows how crowded the region is."""
     w = Window.partitionBy("region").orderBy("path", "doc_id")
-    near = rows.select("doc_id", F.array(*(F.lead("doc_id", k).over(w) for k in range(1, neighbours + 1))).alias("others"))
-    pairs = near.select("doc_id", F.explode("others").alias("other")).filter(F.col("other").isNotNull() & (F.col("other") != F.col("doc_id")))
+    near = rows.select("doc_id", *(F.when(F.lead("group", k).over(w) != F.col("group"), F.lead("doc_id", k).over(w)).alias(f"o{k}") for k in range(1, neighbours + 1)))
+    pairs = near.select("doc_id", F.explode(F.array_compact(F.array(*(f"o{k}" for k in range(1, neighbours + 1))))).alias("other"))
     return pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
 
 
@@ -160,12 +162,32 @@ def _followed(pairs: DataFrame, links: DataFrame) -> DataFrame:
     return around.join(hub, "y").filter(F.col("x") != F.col("hub")).select(F.least("x", "hub").alias("a"), F.greatest("x", "hub").alias("b")).distinct()
 
 
+def _sets(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str, known: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, shingles)`` of the ends of ``pairs``, after those already built in ``known``."""
+    members = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    if known is not None:
+        members = members.join(known.select("doc_id"), "doc_id", "left_anti")
+    members = scratch.save(members, f"members-{name}")
+    if is_empty(members):
+        return known if known is not None else docs.sparkSession.createDataFrame([], "doc_id long, shingles array<long>")
+    sets = scratch.save(full_sets(docs.join(members, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), f"sets-{name}")
+    return sets if known is None else known.union(sets)
+
+
+def _across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose ends no chain of links in ``groups(node, component)`` joins."""
+    one = pairs.join(groups.select(F.col("node").alias("a"), F.col("component").alias("ga")), "a", "left")
+    two = one.join(groups.select(F.col("node").alias("b"), F.col("component").alias("gb")), "b", "left")
+    return two.filter(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = 4) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, n_shingles, component_id, kept)``, a row per row of docs.
 
     Documents of one shingle set are one node, so thousands of copies cost one. Nodes meet next to each other in the
-    sorted orders of a forest; pairs that look alike enough are confirmed on full sets. Neighbours that fall short lead
-    on to their best-linked partners, until a round finds no new link (or ``rounds`` are over).
+    sorted orders of a forest; pairs that look alike enough are confirmed on full sets. The forest works in two passes:
+    a pair that links of the first have already joined, if only through others, cannot change a component, and the
+    second leaves it out. Neighbours in different components that fall short lead on to their best-linked partners, until a round finds no new link (or ``rounds`` are over).
     Null, empty or blank texts have no shingles and are linked with nothing. A null doc_id is linked with nothing, has
     a null component_id and is kept. Rows of one doc_id are one node. Other columns of docs are not read.
     """
@@ -175,21 +197,25 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = 4) ->
     sigs = scratch.save(signatures(docs), "sigs")
     known = sigs.filter("n_shingles > 0 and doc_id is not null")
     reps = scratch.save(known.groupBy("h1", "h2", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("r")).select("h1", "h2", "n_shingles", "r.doc_id", "r.sig"), "reps")
-    pairs = scratch.save(_with_estimate(candidates(forest(reps)), reps).filter(F.col("guess") >= FOLLOW_FROM), "pairs")
-    links = spark.createDataFrame([], "a long, b long")
-    if not is_empty(pairs):
-        members = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        sets = scratch.save(full_sets(docs.join(scratch.save(members, "members"), "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "sets")
-        seen = pairs.select("a", "b")
-        links = scratch.save(confirmed(pairs.filter(F.col("guess") >= CHECK_FROM), sets, percent), "links-0")
+    alone = reps.select("doc_id", F.col("doc_id").alias("group"), "sig")
+    pairs = scratch.save(_with_estimate(candidates(forest(alone, range(FIRST_TREES))), reps).filter(F.col("guess") >= FOLLOW_FROM), "pairs-first")
+    sets = _sets(docs, pairs, scratch, "first")
+    links = scratch.save(confirmed(pairs.filter(F.col("guess") >= CHECK_FROM), sets, percent), "links-first")
+    groups = scratch.save(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch), "groups")
+    grouped = reps.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("group"), "sig")
+    rest = scratch.save(_with_estimate(candidates(forest(grouped, range(FIRST_TREES, TREES))), reps).filter(F.col("guess") >= FOLLOW_FROM), "pairs-rest")
+    sets = _sets(docs, rest, scratch, "rest", sets)
+    links = links.union(scratch.save(confirmed(rest.filter(F.col("guess") >= CHECK_FROM).join(pairs, ["a", "b"], "left_anti"), sets, percent), "links-rest"))
+    seen = scratch.save(_across(pairs.union(rest).select("a", "b").distinct(), groups), "seen")
+    if not is_empty(seen):
         for k in range(1, rounds + 1):
-            more = _followed(seen, links).join(seen, ["a", "b"], "left_anti")
+            more = _across(_followed(seen, links).join(seen, ["a", "b"], "left_anti"), groups)
             more = scratch.save(_with_estimate(more, reps).filter(F.col("guess") >= FOLLOW_FROM), f"more-{k}")
             new = scratch.save(confirmed(more.filter(F.col("guess") >= CHECK_FROM), sets, percent), f"links-{k}")
             if is_empty(new):
                 break
             links, seen = links.union(new), seen.union(more.select("a", "b"))
-    found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
+    found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, name="all")
     named = reps.select("h1", "h2", "n_shingles", F.col("doc_id").alias("node")).join(found, "node", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "node").alias("c"))
     out = sigs.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2", "n_shingles"], "left")
     own = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("c"))
