@@ -181,13 +181,34 @@ def _across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return two.filter(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b")
 
 
+def _grouped(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    return scratch.save(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, name=name), f"{name}-groups")
+
+
+def _follow(seen: DataFrame, links: DataFrame, sets: DataFrame, groups: DataFrame, reps: DataFrame, scratch: Scratch, name: str, percent: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """The links and the pairs seen after ``seen(a, b)`` has led on, until a round finds no new link or ``rounds`` are over."""
+    seen = scratch.save(seen, f"{name}-seen")
+    if is_empty(seen):
+        return links, seen
+    for k in range(1, rounds + 1):
+        more = _across(_followed(seen, links).join(seen, ["a", "b"], "left_anti"), groups)
+        more = scratch.save(_with_estimate(more, reps).filter(F.col("guess") >= FOLLOW_FROM), f"{name}-more-{k}")
+        new = scratch.save(confirmed(more.filter(F.col("guess") >= CHECK_FROM), sets, percent), f"{name}-links-{k}")
+        seen = seen.union(more.select("a", "b"))
+        if is_empty(new):
+            break
+        links = links.union(new)
+    return links, seen
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = 4) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, n_shingles, component_id, kept)``, a row per row of docs.
 
     Documents of one shingle set are one node, so thousands of copies cost one. Nodes meet next to each other in the
     sorted orders of a forest; pairs that look alike enough are confirmed on full sets. The forest works in two passes:
     a pair that links of the first have already joined, if only through others, cannot change a component, and the
-    second leaves it out. Neighbours in different components that fall short lead on to their best-linked partners, until a round finds no new link (or ``rounds`` are over).
+    second leaves it out. After each pass, neighbours in different components that fall short lead on to their
+    best-linked partners, until a round finds no new link (or ``rounds`` are over).
     Null, empty or blank texts have no shingles and are linked with nothing. A null doc_id is linked with nothing, has
     a null component_id and is kept. Rows of one doc_id are one node. Other columns of docs are not read.
     """
@@ -201,21 +222,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = 4) ->
     pairs = scratch.save(_with_estimate(candidates(forest(alone, range(FIRST_TREES))), reps).filter(F.col("guess") >= FOLLOW_FROM), "pairs-first")
     sets = _sets(docs, pairs, scratch, "first")
     links = scratch.save(confirmed(pairs.filter(F.col("guess") >= CHECK_FROM), sets, percent), "links-first")
-    groups = scratch.save(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch), "groups")
-    grouped = reps.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("group"), "sig")
-    rest = scratch.save(_with_estimate(candidates(forest(grouped, range(FIRST_TREES, TREES))), reps).filter(F.col("guess") >= FOLLOW_FROM), "pairs-rest")
+    groups = _grouped(links, scratch, "first")
+    links, seen = _follow(_across(pairs.select("a", "b"), groups), links, sets, groups, reps, scratch, "first", percent, rounds)
+    groups = _grouped(links, scratch, "followed")
+    joined = reps.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("group"), "sig")
+    rest = scratch.save(_with_estimate(candidates(forest(joined, range(FIRST_TREES, TREES))), reps).filter(F.col("guess") >= FOLLOW_FROM), "pairs-rest")
     sets = _sets(docs, rest, scratch, "rest", sets)
-    links = links.union(scratch.save(confirmed(rest.filter(F.col("guess") >= CHECK_FROM).join(pairs, ["a", "b"], "left_anti"), sets, percent), "links-rest"))
-    seen = scratch.save(_across(pairs.union(rest).select("a", "b").distinct(), groups), "seen")
-    if not is_empty(seen):
-        for k in range(1, rounds + 1):
-            more = _across(_followed(seen, links).join(seen, ["a", "b"], "left_anti"), groups)
-            more = scratch.save(_with_estimate(more, reps).filter(F.col("guess") >= FOLLOW_FROM), f"more-{k}")
-            new = scratch.save(confirmed(more.filter(F.col("guess") >= CHECK_FROM), sets, percent), f"links-{k}")
-            if is_empty(new):
-                break
-            links, seen = links.union(new), seen.union(more.select("a", "b"))
-    found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, name="all")
+    links = links.union(scratch.save(confirmed(rest.filter(F.col("guess") >= CHECK_FROM).join(seen, ["a", "b"], "left_anti"), sets, percent), "links-rest"))
+    links, _ = _follow(_across(seen.union(rest.select("a", "b")).distinct(), groups), links, sets, groups, reps, scratch, "rest", percent, rounds)
+    found = _grouped(links, scratch, "all")
     named = reps.select("h1", "h2", "n_shingles", F.col("doc_id").alias("node")).join(found, "node", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "node").alias("c"))
     out = sigs.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2", "n_shingles"], "left")
     own = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("c"))
