@@ -21,7 +21,8 @@ FIRST_TREES = 8
 FIRST_DEPTH = 3
 LAST_DEPTH = 12
 NEIGHBOURS = 3
-#: Estimates of the similarity from SLOTS values stray by 0.04; pairs below are not worth a check, or not worth following.
+#: Estimates of the similarity from SLOTS values stray by 0.04; pairs below are not worth a check, or not worth following:
+#: 1 - similarity is a metric, so two partners of one document at 0.75 are at 0.5 or more to each other.
 CHECK_FROM = 0.58
 FOLLOW_FROM = 0.30
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -116,10 +117,15 @@ def forest(reps: DataFrame, trees: range = range(TREES)) -> DataFrame:
 
 
 def candidates(rows: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """Pairs of different groups that stand next to each other in a region's order, whose depth so follows how crowded the region is."""
+    """Pairs of different groups that stand next to each other in a region's order, whose depth so follows how crowded the region is.
+
+    A document's neighbours of all trees (``neighbours`` a tree at most) are put together before they become pairs, so
+    a pair that meets in many trees is one row.
+    """
     w = Window.partitionBy("region").orderBy("path", "doc_id")
-    near = rows.select("doc_id", *(F.when(F.lead("group", k).over(w) != F.col("group"), F.lead("doc_id", k).over(w)).alias(f"o{k}") for k in range(1, neighbours + 1)))
-    pairs = near.select("doc_id", F.explode(F.array_compact(F.array(*(f"o{k}" for k in range(1, neighbours + 1))))).alias("other"))
+    near = rows.select("doc_id", F.array_compact(F.array(*(F.when(F.lead("group", k).over(w) != F.col("group"), F.lead("doc_id", k).over(w)) for k in range(1, neighbours + 1)))).alias("others"))
+    each = near.filter(F.size("others") > 0).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+    pairs = each.select("doc_id", F.explode("others").alias("other"))
     return pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
 
 
