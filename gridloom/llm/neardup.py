@@ -158,14 +158,23 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return both.filter(F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).select("a", "b")
 
 
-def _followed(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs one step on: from a document to the best-linked partner of a neighbour, and of its own partners' partners."""
+def _hubs(links: DataFrame, before: DataFrame | None) -> DataFrame:
+    """``(y, hub, moved)``: the best-linked partner of each linked document, and whether ``before`` had another or none."""
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.groupBy("a").agg(F.count("*").alias("n"))
     ranked = both.join(degree.select(F.col("a").alias("b"), "n"), "b").groupBy("a").agg(F.max(F.struct("n", F.negative("b").alias("m"))).alias("best"))
-    hub = ranked.select(F.col("a").alias("y"), F.negative("best.m").alias("hub"))
-    around = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    return around.join(hub, "y").filter(F.col("x") != F.col("hub")).select(F.least("x", "hub").alias("a"), F.greatest("x", "hub").alias("b")).distinct()
+    hubs = ranked.select(F.col("a").alias("y"), F.negative("best.m").alias("hub"))
+    if before is None:
+        return hubs.withColumn("moved", F.lit(True))
+    return hubs.join(before.select("y", F.col("hub").alias("was")), "y", "left").select("y", "hub", (~F.col("hub").eqNullSafe(F.col("was"))).alias("moved"))
+
+
+def _followed(seen: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Pairs one step on from ``seen(a, b, fresh)``: a document and the hub of its neighbour, where the pair or the hub is new."""
+    around = seen.select(F.col("a").alias("x"), F.col("b").alias("y"), "fresh").union(seen.select(F.col("b").alias("x"), F.col("a").alias("y"), "fresh"))
+    n, h = around.alias("n"), hubs.alias("h")
+    led = n.join(h, (F.col("n.y") == F.col("h.y")) & (F.col("n.fresh") | F.col("h.moved")) & (F.col("n.x") != F.col("h.hub")))
+    return led.select(F.least("x", "hub").alias("a"), F.greatest("x", "hub").alias("b")).distinct()
 
 
 def _sets(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str, known: DataFrame | None = None) -> DataFrame:
@@ -184,7 +193,13 @@ def _across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """Those of ``pairs(a, b)`` whose ends no chain of links in ``groups(node, component)`` joins."""
     one = pairs.join(groups.select(F.col("node").alias("a"), F.col("component").alias("ga")), "a", "left")
     two = one.join(groups.select(F.col("node").alias("b"), F.col("component").alias("gb")), "b", "left")
-    return two.filter(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b")
+    return two.filter(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select(*pairs.columns)
+
+
+def _joined(groups: DataFrame, new: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The components of ``groups`` after the links ``new(a, b)``."""
+    edges = groups.select(F.col("node").alias("u"), F.col("component").alias("v")).union(new.select("a", "b"))
+    return scratch.save(components(edges, scratch, name=f"edges-{name}"), f"groups-{name}")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = 4) -> DataFrame:
@@ -193,7 +208,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = 4) ->
     Documents of one shingle set are one node, so thousands of copies cost one. Nodes meet next to each other in the
     sorted orders of a forest; pairs that look alike enough are confirmed on full sets. The forest works in two passes:
     a pair that links of the first have already joined, if only through others, cannot change a component, and the
-    second leaves it out. Neighbours in different components that fall short lead on to their best-linked partners, until a round finds no new link (or ``rounds`` are over).
+    second leaves it out. Neighbours in different components that fall short lead on to their best-linked partners, until
+    a round finds no new link (or ``rounds`` are over). A round leaves out pairs that links have joined by then, and
+    those whose way it has gone before.
     Null, empty or blank texts have no shingles and are linked with nothing. A null doc_id is linked with nothing, has
     a null component_id and is kept. Rows of one doc_id are one node. Other columns of docs are not read.
     """
@@ -211,18 +228,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = 4) ->
     grouped = reps.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("group"), "sig")
     rest = scratch.save(_with_estimate(candidates(forest(grouped, range(FIRST_TREES, TREES))), reps).filter(F.col("guess") >= FOLLOW_FROM), "pairs-rest")
     sets = _sets(docs, rest, scratch, "rest", sets)
-    links = links.union(scratch.save(confirmed(rest.filter(F.col("guess") >= CHECK_FROM).join(pairs, ["a", "b"], "left_anti"), sets, percent), "links-rest"))
-    seen = scratch.save(_across(pairs.union(rest).select("a", "b").distinct(), groups), "seen")
-    if not is_empty(seen):
-        for k in range(1, rounds + 1):
-            more = _across(_followed(seen, links).join(seen, ["a", "b"], "left_anti"), groups)
-            more = scratch.save(_with_estimate(more, reps).filter(F.col("guess") >= FOLLOW_FROM), f"more-{k}")
-            new = scratch.save(confirmed(more.filter(F.col("guess") >= CHECK_FROM), sets, percent), f"links-{k}")
-            if is_empty(new):
-                break
-            links, seen = links.union(new), seen.union(more.select("a", "b"))
-    found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, name="all")
-    named = reps.select("h1", "h2", "n_shingles", F.col("doc_id").alias("node")).join(found, "node", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "node").alias("c"))
+    new = scratch.save(confirmed(rest.filter(F.col("guess") >= CHECK_FROM).join(pairs, ["a", "b"], "left_anti"), sets, percent), "links-rest")
+    links, groups, hubs = links.union(new), _joined(groups, new, scratch, "rest"), None
+    seen = scratch.save(_across(pairs.union(rest).select("a", "b", F.lit(True).alias("fresh")).distinct(), groups), "seen")
+    for k in range(1, rounds + 1):
+        if is_empty(seen):
+            break
+        hubs = scratch.save(_hubs(links, hubs), f"hubs-{k}")
+        more = _followed(seen, hubs).join(seen, ["a", "b"], "left_anti")
+        more = scratch.save(_with_estimate(more, reps).filter(F.col("guess") >= FOLLOW_FROM), f"more-{k}")
+        new = scratch.save(confirmed(more.filter(F.col("guess") >= CHECK_FROM), sets, percent), f"links-{k}")
+        if is_empty(new):
+            break
+        links, groups = links.union(new), _joined(groups, new, scratch, f"{k}")
+        both = seen.select("a", "b", F.lit(False).alias("fresh")).union(more.select("a", "b", F.lit(True)))
+        seen = scratch.save(_across(both, groups), f"seen-{k}")
+    named = reps.select("h1", "h2", "n_shingles", F.col("doc_id").alias("node")).join(groups, "node", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "node").alias("c"))
     out = sigs.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2", "n_shingles"], "left")
     own = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("c"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
