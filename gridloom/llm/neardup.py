@@ -1,4 +1,7 @@
-"""MinHash near-duplicates by an LSH forest: neighbours in several sorted signature orders, confirmed on full sets."""
+"""MinHash near-duplicates by an LSH forest: neighbours in several sorted signature orders, confirmed on full sets.
+
+What the forest leaves apart meets in an exact join of rare shingles, so no link between groups is lost.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, is_empty, words_of
+from .common import Scratch, crc_of, is_empty, words_of
 from .graph import components
 
 SHINGLE = 5
@@ -25,6 +28,9 @@ NEIGHBOURS = 3
 #: 1 - similarity is a metric, so two partners of one document at 0.75 are at 0.5 or more to each other.
 CHECK_FROM = 0.58
 FOLLOW_FROM = 0.30
+#: Common shingles come last in the order of the exact join: those seen COMMON times in one of SAMPLE documents, at most
+#: ORDERED of them. They set the order only; any order loses nothing.
+SAMPLE, COMMON, ORDERED = 4, 2, 500_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -202,6 +208,62 @@ def _joined(groups: DataFrame, new: DataFrame, scratch: Scratch, name: str) -> D
     return scratch.save(components(edges, scratch, name=f"edges-{name}"), f"groups-{name}")
 
 
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles common in a sample, and their counts there."""
+
+    def run(batches):
+        hashes = WordHashes()
+        for b in batches:
+            sets = [shingle_set(t, hashes) for t in b["text"]]
+            if sets:
+                k, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pd.DataFrame({"shingle": k.view(np.int64), "n": n.astype(np.int64)})
+
+    each = docs.filter(crc_of("doc_id") % SAMPLE == 0).select("text").mapInPandas(run, "shingle long, n long")
+    top = each.groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "shingle").limit(ORDERED).toPandas()
+    keys, n = top["shingle"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def prefix(s: np.ndarray, keys: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The first of a set's shingles, rare ones before common: two sets at ``percent`` or more share one of these."""
+    if not len(s):
+        return s
+    k = len(s) - (len(s) * percent + 99) // 100 + 1
+    if not len(keys):
+        return s[:k]
+    at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+    return s[np.lexsort((s, np.where(keys[at] == s, counts[at], 0)))[:k]]
+
+
+def exact_pairs(docs: DataFrame, nodes: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
+    """Every pair of ``nodes(doc_id, group, n_shingles)`` in different groups that may reach ``percent``, without any limit.
+
+    Shingles that only one group has in its prefixes make no pair, so a large group joined before costs its rows only.
+    """
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(common_shingles(docs))
+
+    def run(batches):
+        (keys, counts), hashes = sent.value, WordHashes()
+        for b in batches:
+            firsts = [prefix(shingle_set(t, hashes), keys, counts, percent) for t in b["text"]]
+            if firsts:
+                n = [len(p) for p in firsts]
+                yield pd.DataFrame({"shingle": np.concatenate(firsts).view(np.int64), "doc_id": np.repeat(b["doc_id"].to_numpy(), n), "group": np.repeat(b["group"].to_numpy(), n)})
+
+    texts = docs.join(nodes.select("doc_id", "group").distinct(), "doc_id").select("doc_id", "group", "text")
+    rows = texts.mapInPandas(run, "shingle long, doc_id long, group long")
+    w = Window.partitionBy("shingle")
+    met = rows.withColumn("low", F.min("group").over(w)).withColumn("high", F.max("group").over(w)).filter("low < high").select("shingle", "doc_id", "group")
+    met = scratch.save(met.join(nodes.select("doc_id", "n_shingles"), "doc_id"), "met")
+    a, b = met.alias("a"), met.alias("b")
+    long_enough = (F.col("a.n_shingles") * 100 >= F.col("b.n_shingles") * percent) & (F.col("b.n_shingles") * 100 >= F.col("a.n_shingles") * percent)
+    both = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.group") != F.col("b.group")) & long_enough)
+    return both.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = 4) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, n_shingles, component_id, kept)``, a row per row of docs.
 
@@ -210,7 +272,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = 4) ->
     a pair that links of the first have already joined, if only through others, cannot change a component, and the
     second leaves it out. Neighbours in different components that fall short lead on to their best-linked partners, until
     a round finds no new link (or ``rounds`` are over). A round leaves out pairs that links have joined by then, and
-    those whose way it has gone before.
+    those whose way it has gone before. The forest only saves work: at last all pairs of different components that share a
+    shingle of their prefixes are confirmed, so the components are those of all links.
     Null, empty or blank texts have no shingles and are linked with nothing. A null doc_id is linked with nothing, has
     a null component_id and is kept. Rows of one doc_id are one node. Other columns of docs are not read.
     """
@@ -243,6 +306,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = 4) ->
         links, groups = links.union(new), _joined(groups, new, scratch, f"{k}")
         both = seen.select("a", "b", F.lit(False).alias("fresh")).union(more.select("a", "b", F.lit(True)))
         seen = scratch.save(_across(both, groups), f"seen-{k}")
+    nodes = scratch.save(reps.select("doc_id", "n_shingles").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("group"), "n_shingles"), "nodes")
+    apart = scratch.save(exact_pairs(docs, nodes, scratch, percent), "pairs-exact")
+    sets = _sets(docs, apart, scratch, "exact", sets)
+    groups = _joined(groups, scratch.save(confirmed(apart, sets, percent), "links-exact"), scratch, "exact")
     named = reps.select("h1", "h2", "n_shingles", F.col("doc_id").alias("node")).join(groups, "node", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "node").alias("c"))
     out = sigs.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2", "n_shingles"], "left")
     own = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("c"))

@@ -47,6 +47,28 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == {k: find(k) for k in range(len(docs))}
 
 
+def test_near_duplicates_do_not_depend_on_the_forest(spark, monkeypatch):
+    """Texts of one long shared passage crowd a region; here the forest meets none of them."""
+    monkeypatch.setattr(neardup, "candidates", lambda rows: rows.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0))
+    rng = random.Random(12)
+    vocab = [f"w{k}" for k in range(3000)]
+    shared = rng.choices(vocab, k=60)
+    docs = []
+    for _ in range(30):
+        own = shared + rng.choices(vocab, k=40)
+        docs += [own, own[: rng.randint(85, 98)] + rng.choices(vocab, k=rng.randint(0, 9))]
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in docs]
+    near = {k: {k} for k in range(len(docs))}
+    for a, b in combinations(range(len(docs)), 2):
+        i = len(sets[a] & sets[b])
+        if 100 * i >= 75 * (len(sets[a]) + len(sets[b]) - i) and near[a] is not near[b]:
+            near[a] |= near[b]
+            for k in near[b]:
+                near[k] = near[a]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(docs)], "doc_id long, text string")).collect()}
+    assert got == {k: min(g) for k, g in near.items()} and 1 < len(set(got.values())) < len(docs)
+
+
 def test_substrings_against_windows(spark):
     rng = random.Random(5)
     words = [f"w{k}" for k in range(400)]
