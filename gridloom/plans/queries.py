@@ -185,7 +185,9 @@ def grid_transpose(spark, d):
 
 @query("grid_resample_nearest", f"{CELLS}, p as (select cast(a.range as int) as i, cast(b.range as int) as j, cast(round(149.0::double * a.range / 59) as int) as k, cast(round(99.0::double * b.range / 79) as int) as l from range(60) a, range(80) b) select p.i, p.j, c.elev from p left join grid_cells c on c.i = p.k and c.j = p.l")
 def grid_resample_nearest(spark, d):
-    return grid.resample(grid_cells(spark, d), 150, 100, 80, 60)
+    cells = grid_cells(spark, d)
+    last = cells.agg(F.max("i").alias("i"), F.max("j").alias("j")).first()
+    return grid.resample(cells, (last.i or 0) + 1, (last.j or 0) + 1, 80, 60)
 
 
 def _smooth_sql(weights, keep):
@@ -269,7 +271,9 @@ _LIM = color.stretched(-93, 3233)
 
 @query("grid_shade_rescaled", _relief_sql(_LIM))
 def grid_shade_rescaled(spark, d):
-    return _gradient(spark, d).select("i", "j", color.relief_color(F.col("elev"), F.col("gradient"), _LIM).alias("color"))
+    span = grid_cells(spark, d).agg(F.min("elev").alias("low"), F.max("elev").alias("high")).first()
+    limits = color.stretched(span.low or 0, span.high or 0)
+    return _gradient(spark, d).select("i", "j", color.relief_color(F.col("elev"), F.col("gradient"), limits).alias("color"))
 
 
 @query("grid_sea", _relief_sql(color.LIMITS, True))
