@@ -11,23 +11,31 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-ARROW_ROWS = 2000
+#: Bounds of what a Python worker gets at once. A row is never cut, so one longer text is a batch of its own.
+ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
+#: Bits of a set's picture: at most PICTURE_BITS / 64 rows, whatever the set's size.
+PICTURE_BITS = 1 << 24
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is made only where the session names none."""
+    """The folder that driver and executors share, with its scheme. A local one is made only where the session names
+    none and driver and executors are one process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def prepare(spark: SparkSession) -> None:
-    """Arrow batches stay small enough for long texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Arrow batches stay small enough for long texts, by rows and by bytes. The session keeps these bounds, as plans run later."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = str(spark.conf.get(key)).rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 class Scratch:
@@ -57,6 +65,24 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def picture(ids: DataFrame) -> DataFrame:
+    """``ids(doc_id)`` as a bit map ``(slot, bits)`` of PICTURE_BITS / 64 rows at most, so that it may be broadcast at any size."""
+    each = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(PICTURE_BITS)).alias("h"))
+    return each.groupBy(F.shiftright("h", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
+
+
+def pictured(docs: DataFrame, of: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows of docs whose id the picture has, which are those of the set and a few others, or the rows that are surely not in it.
+
+    It keeps texts that cannot matter out of a shuffle; what is left is joined by the id.
+    """
+    cols = docs.columns
+    hashed = docs.withColumn("picture_h", F.pmod(F.xxhash64("doc_id"), F.lit(PICTURE_BITS)))
+    met = hashed.join(F.broadcast(of.select(F.col("slot").alias("picture_slot"), F.col("bits").alias("picture_bits"))), F.shiftright("picture_h", 6) == F.col("picture_slot"), "left")
+    hit = F.coalesce(F.expr("(shiftright(picture_bits, cast(picture_h & 63 as int)) & 1L) = 1L"), F.lit(False))
+    return met.filter(hit if inside else ~hit).select(*cols)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cases A-Z and splits at ASCII white space; null has no words."""
     return text.encode("utf-8", "replace").translate(LOWER_BYTES).split() if text else []

@@ -1,4 +1,5 @@
-"""MinHash near-duplicates by an LSH forest: neighbours in several sorted signature orders, confirmed on full sets.
+"""MinHash near-duplicates by an LSH forest: documents stand in several sorted signature orders, and those with the longest
+common prefixes around a document are its candidates, confirmed on full sets.
 
 What the forest leaves apart meets in an exact join of rare shingles, so no link between groups is lost.
 """
@@ -6,31 +7,27 @@ What the forest leaves apart meets in an exact join of rare shingles, so no link
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, crc_of, is_empty, words_of
+from .common import LOWER_BYTES, Scratch, crc_of, is_empty, picture, pictured, prepare
 from .graph import components
 
 SHINGLE = 5
 PERCENT = 75
-SLOTS = 128
-TREES = 24
-#: Trees of the first pass; the others then look only for links between what the first has not joined yet.
-FIRST_TREES = 8
-FIRST_DEPTH = 3
-LAST_DEPTH = 12
+SLOTS = 64
+TREES = 10
+#: Slots of a path, of which a candidate shares LEAST at least, and no more than SLACK fewer than its region is deep.
+DEPTH, LEAST, SLACK = 12, 3, 3
 NEIGHBOURS = 3
-#: Estimates of the similarity from SLOTS values stray by 0.04; pairs below are not worth a check, or not worth following:
-#: 1 - similarity is a metric, so two partners of one document at 0.75 are at 0.5 or more to each other.
-CHECK_FROM = 0.58
-FOLLOW_FROM = 0.30
+#: Estimates of the similarity from SLOTS values stray by 0.05; the exact join sees to pairs below this one.
+CHECK_FROM = 0.6
 #: Common shingles come last in the order of the exact join: those seen COMMON times in one of SAMPLE documents, at most
-#: ORDERED of them. They set the order only; any order loses nothing.
-SAMPLE, COMMON, ORDERED = 4, 2, 500_000
+#: ORDERED of them. They set the order and who is dealt out by counts; any choice loses nothing.
+SAMPLE, COMMON, ORDERED = 32, 3, 200_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -38,7 +35,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -50,9 +47,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None, hashes: WordHashes, width: int = SHINGLE) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct word shingles; a shorter text is one shingle, no words none."""
-    words = words_of(text)
+def shingle_set(raw: bytes | None, hashes: WordHashes, width: int = SHINGLE) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct word shingles of a UTF-8 text; a shorter text is one shingle, no words none."""
+    words = raw.translate(LOWER_BYTES).split() if raw else []
     if not words:
         return np.empty(0, np.uint64)
     w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
@@ -63,6 +60,14 @@ def shingle_set(text: str | None, hashes: WordHashes, width: int = SHINGLE) -> n
     return np.unique(out)
 
 
+def _raw(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
+    return batch.column(column).cast(pa.binary()).to_pylist()
+
+
+def _longs(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
 def _multipliers(slots: int) -> np.ndarray:
     return (np.random.default_rng(20240607).integers(1, 1 << 31, size=(slots, 1), dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 
@@ -80,80 +85,149 @@ def signature(s: np.ndarray, mult: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, h1, h2, sig)``: h1 and h2 name the set, sig holds its slots."""
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles common in a sample, and their counts there; bounded by ORDERED."""
 
     def run(batches):
-        hashes, mult = WordHashes(), _multipliers(SLOTS)
+        hashes = WordHashes()
         for b in batches:
-            n, h1, h2, sig = [], [], [], []
-            for t in b["text"]:
+            sets = [shingle_set(t, hashes) for t in _raw(b)]
+            if sets:
+                k, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], ["shingle", "n"])
+
+    each = docs.filter(crc_of("doc_id") % SAMPLE == 0).select("text").mapInArrow(run, "shingle long, n long")
+    top = each.groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "shingle").limit(ORDERED).toArrow()
+    keys, n = _longs(top["shingle"]).view(np.uint64), _longs(top["n"])
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def prefix(s: np.ndarray, keys: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """The first of a set's shingles, rare ones before common, and which are common: two sets at ``percent`` or more share one."""
+    k = len(s) - (len(s) * percent + 99) // 100 + 1 if len(s) else 0
+    if not k or not len(keys):
+        return s[:k], np.zeros(k, bool)
+    at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+    n = np.where(keys[at] == s, counts[at], 0)
+    first = np.lexsort((s, n))[:k]
+    return s[first], n[first] > 0
+
+
+SKETCH = "doc_id long, n_shingles long, h1 long, h2 long, sig binary, firsts binary, n_rare int"
+
+
+def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """h1 and h2 name the set, sig holds its slots, firsts its prefix of the exact join, of which the first n_rare are rare."""
+    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
+
+    def run(batches):
+        (keys, counts), hashes, mult = sent.value, WordHashes(), _multipliers(SLOTS)
+        for b in batches:
+            n, h1, h2, sig, firsts, rare = [], [], [], [], [], []
+            for t in _raw(b):
                 s = shingle_set(t, hashes)
+                p, common = prefix(s, keys, counts, percent)
                 n.append(len(s))
                 h1.append(int(np.bitwise_xor.reduce(mixed(s + MIX), initial=0).astype(np.uint64).view(np.int64)))
                 h2.append(int(np.add.reduce(mixed(s * MIX + np.uint64(1)), initial=0, dtype=np.uint64).view(np.int64)))
                 sig.append(signature(s, mult).astype("<u4").tobytes() if len(s) else None)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_shingles": n, "h1": h1, "h2": h2, "sig": sig})
+                firsts.append(p.astype("<u8").tobytes())
+                rare.append(len(p) - int(common.sum()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary()), pa.array(firsts, pa.binary()), pa.array(rare, pa.int32())], [x.split()[0] for x in SKETCH.split(", ")])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
 
 
 def tree_orders(trees: int = TREES) -> np.ndarray:
     rng = np.random.default_rng(7)
-    return np.stack([rng.permutation(SLOTS)[:LAST_DEPTH] for _ in range(trees)])
+    return np.stack([rng.permutation(SLOTS)[:DEPTH] for _ in range(trees)])
 
 
-def forest(reps: DataFrame, trees: range = range(TREES)) -> DataFrame:
-    """A row per document of ``reps(doc_id, group, sig)`` and tree: ``region`` names tree and first slots, ``path`` holds the slots below for sorting."""
-    orders = [(t, order) for t, order in enumerate(tree_orders()) if t in trees]
+def forest(reps: DataFrame) -> DataFrame:
+    """``(path, doc_id)``: a row per document of ``reps(doc_id, sig)`` and tree; path is the tree and its order's slots."""
 
     def run(batches):
         for b in batches:
-            if not len(b):
+            if not b.num_rows:
                 continue
-            s = np.frombuffer(b"".join(b["sig"]), "<u4").reshape(len(b), SLOTS).astype(np.uint64)
-            for t, order in orders:
-                key = np.full(len(b), t + 1, np.uint64)
-                for j in order[:FIRST_DEPTH]:
-                    key = mixed(key * MIX + s[:, j])
-                rest = np.ascontiguousarray((s[:, order[FIRST_DEPTH:]] & np.uint64(0xFFFF)).astype(">u2"))
-                yield pd.DataFrame({"region": key.view(np.int64), "path": [r.tobytes() for r in rest], "doc_id": b["doc_id"].to_numpy(), "group": b["group"].to_numpy()})
+            s = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u4").reshape(b.num_rows, SLOTS)
+            for t, order in enumerate(tree_orders()):
+                path = np.empty((b.num_rows, DEPTH + 1), ">u2")
+                path[:, 0], path[:, 1:] = t, s[:, order] & np.uint32(0xFFFF)
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in path], pa.binary()), b.column("doc_id")], ["path", "doc_id"])
 
-    return reps.select("doc_id", "group", "sig").mapInPandas(run, "region long, path binary, doc_id long, group long")
+    return reps.select("doc_id", "sig").mapInArrow(run, "path binary, doc_id long")
 
 
-def candidates(rows: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """Pairs of different groups that stand next to each other in a region's order, whose depth so follows how crowded the region is.
+def neighbours(paths: np.ndarray, near: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, the rows k further) that are candidates, for k = 1 to ``near``, in sorted paths.
 
-    A document's neighbours of all trees (``neighbours`` a tree at most) are put together before they become pairs, so
-    a pair that meets in many trees is one row.
+    A row's region is as deep as its longest common prefix with the rows beside it; candidates share LEAST slots and
+    no more than SLACK fewer than the shallower of their two regions.
     """
-    w = Window.partitionBy("region").orderBy("path", "doc_id")
-    near = rows.select("doc_id", F.array_compact(F.array(*(F.when(F.lead("group", k).over(w) != F.col("group"), F.lead("doc_id", k).over(w)) for k in range(1, neighbours + 1)))).alias("others"))
-    each = near.filter(F.size("others") > 0).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
-    pairs = each.select("doc_id", F.explode("others").alias("other"))
-    return pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+    shared = [np.cumprod(paths[k:] == paths[:-k], axis=1).sum(1) - 1 for k in range(1, near + 1)]
+    deep = np.zeros(len(paths), np.int64)
+    if len(paths) > 1:
+        deep[1:], deep[:-1] = shared[0], np.maximum(deep[:-1], shared[0])
+        deep[1:-1] = np.maximum(shared[0][:-1], shared[0][1:])
+    out = []
+    for k, lcp in enumerate(shared, 1):
+        at = np.flatnonzero(lcp >= np.maximum(LEAST, np.minimum(deep[:-k], deep[k:])[: len(lcp)] - SLACK)) if len(lcp) else np.empty(0, np.int64)
+        out.append((at, at + k))
+    return out
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """Distinct pairs of documents that stand next to each other in an order of ``rows(path, doc_id)``.
+
+    The orders are dealt out by ranges of path and doc_id, so that a crowded region is cut wherever it has to be; the
+    two sides of a cut meet in other trees or in the exact join.
+    """
+
+    def run(batches):
+        old_paths, old_ids = np.empty((0, DEPTH + 1), ">u2"), np.empty(0, np.int64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            paths = np.concatenate([old_paths, np.frombuffer(b"".join(b.column("path").to_pylist()), ">u2").reshape(-1, DEPTH + 1)])
+            ids, begin = np.concatenate([old_ids, _longs(b.column("doc_id"))]), len(old_ids)
+            a, c = [], []
+            for x, y in neighbours(paths):
+                new = y >= begin
+                a.append(ids[x[new]])
+                c.append(ids[y[new]])
+            a, c = np.concatenate(a), np.concatenate(c)
+            old_paths, old_ids = paths[-NEIGHBOURS:], ids[-NEIGHBOURS:]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], ["a", "b"])
+
+    return rows.repartitionByRange("path", "doc_id").sortWithinPartitions("path", "doc_id").mapInArrow(run, "a long, b long").filter("a < b").distinct()
 
 
 def _with_estimate(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    @F.pandas_udf("double")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        a, b = (np.frombuffer(b"".join(v), "<u4").reshape(-1, SLOTS) for v in (x, y))
-        return pd.Series((a == b).mean(1))
+    """``(a, b, guess)``: the share of equal slots."""
+
+    def run(batches):
+        for p in batches:
+            if p.num_rows:
+                x, y = (np.frombuffer(b"".join(p.column(c).to_pylist()), "<u4").reshape(-1, SLOTS) for c in ("sig_a", "sig_b"))
+                yield pa.RecordBatch.from_arrays([p.column("a"), p.column("b"), pa.array((x == y).mean(1))], ["a", "b", "guess"])
 
     one = pairs.join(reps.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a")
     two = one.join(reps.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
-    return two.select("a", "b", alike("sig_a", "sig_b").alias("guess"))
+    return two.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, guess double")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
+    """``(doc_id, shingles)`` of every row of docs."""
+
     def run(batches):
         hashes = WordHashes()
         for b in batches:
-            sets = [shingle_set(t, hashes).view(np.int64) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "shingles": sets})
+            sets = [shingle_set(t, hashes).view(np.int64) for t in _raw(b)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -164,25 +238,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return both.filter(F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).select("a", "b")
 
 
-def _hubs(links: DataFrame, before: DataFrame | None) -> DataFrame:
-    """``(y, hub, moved)``: the best-linked partner of each linked document, and whether ``before`` had another or none."""
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.groupBy("a").agg(F.count("*").alias("n"))
-    ranked = both.join(degree.select(F.col("a").alias("b"), "n"), "b").groupBy("a").agg(F.max(F.struct("n", F.negative("b").alias("m"))).alias("best"))
-    hubs = ranked.select(F.col("a").alias("y"), F.negative("best.m").alias("hub"))
-    if before is None:
-        return hubs.withColumn("moved", F.lit(True))
-    return hubs.join(before.select("y", F.col("hub").alias("was")), "y", "left").select("y", "hub", (~F.col("hub").eqNullSafe(F.col("was"))).alias("moved"))
-
-
-def _followed(seen: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Pairs one step on from ``seen(a, b, fresh)``: a document and the hub of its neighbour, where the pair or the hub is new."""
-    around = seen.select(F.col("a").alias("x"), F.col("b").alias("y"), "fresh").union(seen.select(F.col("b").alias("x"), F.col("a").alias("y"), "fresh"))
-    n, h = around.alias("n"), hubs.alias("h")
-    led = n.join(h, (F.col("n.y") == F.col("h.y")) & (F.col("n.fresh") | F.col("h.moved")) & (F.col("n.x") != F.col("h.hub")))
-    return led.select(F.least("x", "hub").alias("a"), F.greatest("x", "hub").alias("b")).distinct()
-
-
 def _sets(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str, known: DataFrame | None = None) -> DataFrame:
     """``(doc_id, shingles)`` of the ends of ``pairs``, after those already built in ``known``."""
     members = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
@@ -191,7 +246,8 @@ def _sets(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str, known:
     members = scratch.save(members, f"members-{name}")
     if is_empty(members):
         return known if known is not None else docs.sparkSession.createDataFrame([], "doc_id long, shingles array<long>")
-    sets = scratch.save(full_sets(docs.join(members, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), f"sets-{name}")
+    some = pictured(docs, scratch.save(picture(members), f"picture-{name}"))
+    sets = scratch.save(full_sets(some.join(members, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), f"sets-{name}")
     return sets if known is None else known.union(sets)
 
 
@@ -204,113 +260,96 @@ def _across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 
 def _joined(groups: DataFrame, new: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The components of ``groups`` after the links ``new(a, b)``."""
+    if is_empty(new):
+        return groups
     edges = groups.select(F.col("node").alias("u"), F.col("component").alias("v")).union(new.select("a", "b"))
     return scratch.save(components(edges, scratch, name=f"edges-{name}"), f"groups-{name}")
 
 
-def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles common in a sample, and their counts there."""
+def _best(pairs: DataFrame) -> DataFrame:
+    """Each document's likeliest partner in ``pairs(a, b, guess)``, as distinct pairs."""
+    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "guess"))
+    best = both.groupBy("a").agg(F.max_by("b", F.struct("guess", F.negative("b"))).alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    def run(batches):
-        hashes = WordHashes()
-        for b in batches:
-            sets = [shingle_set(t, hashes) for t in b["text"]]
-            if sets:
-                k, n = np.unique(np.concatenate(sets), return_counts=True)
-                yield pd.DataFrame({"shingle": k.view(np.int64), "n": n.astype(np.int64)})
 
-    each = docs.filter(crc_of("doc_id") % SAMPLE == 0).select("text").mapInPandas(run, "shingle long, n long")
-    top = each.groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "shingle").limit(ORDERED).toPandas()
-    keys, n = top["shingle"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    order = np.argsort(keys)
-    return keys[order], n[order]
+def prefix_rows(sketch: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``(shingle, doc_id, n, pos, rare)``: a row per shingle of each prefix; pos is its place in the set's order."""
 
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            size = np.array([len(x) // 8 for x in b.column("firsts").to_pylist()], np.int64)
+            s = np.frombuffer(b"".join(b.column("firsts").to_pylist()), "<i8")
+            pos = np.arange(len(s)) - np.repeat(np.cumsum(size) - size, size)
+            for at in range(0, max(1, len(s)), 500_000):
+                part = slice(at, at + 500_000)
+                of = np.repeat(np.arange(b.num_rows), size)[part]
+                yield pa.RecordBatch.from_arrays([pa.array(s[part]), pa.array(_longs(b.column("doc_id"))[of]), pa.array(_longs(b.column("n_shingles"))[of].astype(np.int32)), pa.array(pos[part].astype(np.int32)), pa.array(pos[part] < _longs(b.column("n_rare"))[of])], ["shingle", "doc_id", "n", "pos", "rare"])
 
-def prefix(s: np.ndarray, keys: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The first of a set's shingles, rare ones before common: two sets at ``percent`` or more share one of these."""
-    if not len(s):
-        return s
-    k = len(s) - (len(s) * percent + 99) // 100 + 1
-    if not len(keys):
-        return s[:k]
-    at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-    return s[np.lexsort((s, np.where(keys[at] == s, counts[at], 0)))[:k]]
+    known = sketch.filter("n_shingles > 0 and doc_id is not null")
+    return known.select("doc_id", "n_shingles", "firsts", "n_rare").mapInArrow(run, "shingle long, doc_id long, n int, pos int, rare boolean")
 
 
-def exact_pairs(docs: DataFrame, nodes: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
-    """Every pair of ``nodes(doc_id, group, n_shingles)`` in different groups that may reach ``percent``, without any limit.
+def exact_pairs(sketch: DataFrame, nodes: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
+    """Every pair of ``nodes(doc_id, group)`` in different groups that may reach ``percent``, without any limit.
 
-    Shingles that only one group has in its prefixes make no pair, so a large group joined before costs its rows only.
+    A shingle that one group alone has in its prefixes makes no pair. Where several have it, the rows of its largest
+    group meet those of the others, never each other, so that a large group joined before costs its rows only. A pair
+    is left out where even all that stands before and behind the shingle cannot make up ``percent``.
     """
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(common_shingles(docs))
-
-    def run(batches):
-        (keys, counts), hashes = sent.value, WordHashes()
-        for b in batches:
-            firsts = [prefix(shingle_set(t, hashes), keys, counts, percent) for t in b["text"]]
-            if firsts:
-                n = [len(p) for p in firsts]
-                yield pd.DataFrame({"shingle": np.concatenate(firsts).view(np.int64), "doc_id": np.repeat(b["doc_id"].to_numpy(), n), "group": np.repeat(b["group"].to_numpy(), n)})
-
-    texts = docs.join(nodes.select("doc_id", "group").distinct(), "doc_id").select("doc_id", "group", "text")
-    rows = texts.mapInPandas(run, "shingle long, doc_id long, group long")
-    w = Window.partitionBy("shingle")
-    met = rows.withColumn("low", F.min("group").over(w)).withColumn("high", F.max("group").over(w)).filter("low < high").select("shingle", "doc_id", "group")
-    met = scratch.save(met.join(nodes.select("doc_id", "n_shingles"), "doc_id"), "met")
-    a, b = met.alias("a"), met.alias("b")
-    long_enough = (F.col("a.n_shingles") * 100 >= F.col("b.n_shingles") * percent) & (F.col("b.n_shingles") * 100 >= F.col("a.n_shingles") * percent)
-    both = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.group") != F.col("b.group")) & long_enough)
-    return both.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
-
-
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = 4) -> DataFrame:
+    rows = prefix_rows(sketch, percent)
+    w = Window.partitionBy("shingle")  # rare ones alone, so no task gets a crowd
+    rare = rows.filter("rare").withColumn("low", F.min("doc_id").over(w)).withColumn("high", F.max("doc_id").over(w)).filter("low < high")
+    some = scratch.save(rare.select("shingle", "doc_id", "n", "pos"), "shared-rare")
+    some = some.union(rows.filter("not rare").select("shingle", "doc_id", "n", "pos"))
+    named = scratch.save(some.join(nodes, "doc_id"), "shared")
+    scratch.drop("shared-rare")
+    each = named.groupBy("shingle", "group").agg(F.count("*").alias("k"))
+    met = each.groupBy("shingle").agg(F.max(F.struct("k", "group")).alias("m"), F.count("*").alias("kinds")).filter("kinds > 1").select("shingle", F.col("m.group").alias("big"))
+    marked = scratch.save(named.join(met, "shingle").withColumn("minor", F.col("group") != F.col("big")).drop("big"), "met")
+    scratch.drop("shared")
+    a, b = marked.filter("minor").alias("a"), marked.alias("b")
+    most = F.least("a.pos", "b.pos") + 1 + F.least(F.col("a.n") - F.col("a.pos") - 1, F.col("b.n") - F.col("b.pos") - 1)
+    enough = most.cast("long") * (100 + percent) >= (F.col("a.n") + F.col("b.n")).cast("long") * percent
+    once = ~F.col("b.minor") | (F.col("a.doc_id") < F.col("b.doc_id"))
+    both = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.group") != F.col("b.group")) & once & enough)
+    return both.select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, n_shingles, component_id, kept)``, a row per row of docs.
 
-    Documents of one shingle set are one node, so thousands of copies cost one. Nodes meet next to each other in the
-    sorted orders of a forest; pairs that look alike enough are confirmed on full sets. The forest works in two passes:
-    a pair that links of the first have already joined, if only through others, cannot change a component, and the
-    second leaves it out. Neighbours in different components that fall short lead on to their best-linked partners, until
-    a round finds no new link (or ``rounds`` are over). A round leaves out pairs that links have joined by then, and
-    those whose way it has gone before. The forest only saves work: at last all pairs of different components that share a
-    shingle of their prefixes are confirmed, so the components are those of all links.
+    Documents of one shingle set are one node, so thousands of copies cost one. Nodes meet beside each other in the
+    sorted orders of a forest; pairs that look alike enough are confirmed on full sets, first each node's likeliest
+    one, then those that the links found so far have not joined. The forest only saves work: at last all pairs of
+    different components that share a shingle of their prefixes and may reach ``percent`` are confirmed, so the
+    components are those of all links, up to a clash of 64-bit shingle hashes.
     Null, empty or blank texts have no shingles and are linked with nothing. A null doc_id is linked with nothing, has
     a null component_id and is kept. Rows of one doc_id are one node. Other columns of docs are not read.
     """
     spark = docs.sparkSession
+    prepare(spark)
     scratch = Scratch(spark, "neardup")
     docs = docs.select("doc_id", "text")
-    sigs = scratch.save(signatures(docs), "sigs")
-    known = sigs.filter("n_shingles > 0 and doc_id is not null")
-    reps = scratch.save(known.groupBy("h1", "h2", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("r")).select("h1", "h2", "n_shingles", "r.doc_id", "r.sig"), "reps")
-    alone = reps.select("doc_id", F.col("doc_id").alias("group"), "sig")
-    pairs = scratch.save(_with_estimate(candidates(forest(alone, range(FIRST_TREES))), reps).filter(F.col("guess") >= FOLLOW_FROM), "pairs-first")
-    sets = _sets(docs, pairs, scratch, "first")
-    links = scratch.save(confirmed(pairs.filter(F.col("guess") >= CHECK_FROM), sets, percent), "links-first")
-    groups = scratch.save(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch), "groups")
-    grouped = reps.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("group"), "sig")
-    rest = scratch.save(_with_estimate(candidates(forest(grouped, range(FIRST_TREES, TREES))), reps).filter(F.col("guess") >= FOLLOW_FROM), "pairs-rest")
-    sets = _sets(docs, rest, scratch, "rest", sets)
-    new = scratch.save(confirmed(rest.filter(F.col("guess") >= CHECK_FROM).join(pairs, ["a", "b"], "left_anti"), sets, percent), "links-rest")
-    links, groups, hubs = links.union(new), _joined(groups, new, scratch, "rest"), None
-    seen = scratch.save(_across(pairs.union(rest).select("a", "b", F.lit(True).alias("fresh")).distinct(), groups), "seen")
-    for k in range(1, rounds + 1):
-        if is_empty(seen):
-            break
-        hubs = scratch.save(_hubs(links, hubs), f"hubs-{k}")
-        more = _followed(seen, hubs).join(seen, ["a", "b"], "left_anti")
-        more = scratch.save(_with_estimate(more, reps).filter(F.col("guess") >= FOLLOW_FROM), f"more-{k}")
-        new = scratch.save(confirmed(more.filter(F.col("guess") >= CHECK_FROM), sets, percent), f"links-{k}")
-        if is_empty(new):
-            break
-        links, groups = links.union(new), _joined(groups, new, scratch, f"{k}")
-        both = seen.select("a", "b", F.lit(False).alias("fresh")).union(more.select("a", "b", F.lit(True)))
-        seen = scratch.save(_across(both, groups), f"seen-{k}")
-    nodes = scratch.save(reps.select("doc_id", "n_shingles").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("group"), "n_shingles"), "nodes")
-    apart = scratch.save(exact_pairs(docs, nodes, scratch, percent), "pairs-exact")
+    sketch = scratch.save(sketches(docs, percent), "sketch")
+    known = sketch.filter("n_shingles > 0 and doc_id is not null")
+    sets_of = scratch.save(known.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("doc_id")), "named")
+    reps = scratch.save(known.select("doc_id", "sig").join(sets_of.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "reps")
+    pairs = scratch.save(_with_estimate(candidates(forest(reps)), reps).filter(F.col("guess") >= CHECK_FROM), "pairs")
+    sets = _sets(docs, pairs, scratch, "forest")
+    first = scratch.save(_best(pairs), "pairs-best")
+    groups = _joined(spark.createDataFrame([], "node long, component long"), scratch.save(confirmed(first, sets, percent), "links-best"), scratch, "best")
+    rest = _across(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), groups)
+    groups = _joined(groups, scratch.save(confirmed(rest, sets, percent), "links-rest"), scratch, "rest")
+    nodes = scratch.save(reps.select("doc_id").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("group")), "nodes")
+    apart = scratch.save(exact_pairs(sketch, nodes, scratch, percent), "pairs-exact")
+    scratch.drop("met")
     sets = _sets(docs, apart, scratch, "exact", sets)
     groups = _joined(groups, scratch.save(confirmed(apart, sets, percent), "links-exact"), scratch, "exact")
-    named = reps.select("h1", "h2", "n_shingles", F.col("doc_id").alias("node")).join(groups, "node", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "node").alias("c"))
-    out = sigs.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2", "n_shingles"], "left")
+    scratch.drop("sets-forest", "sets-exact", "pairs", "pairs-exact")
+    named = sets_of.withColumnRenamed("doc_id", "node").join(groups, "node", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "node").alias("c"))
+    out = sketch.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2", "n_shingles"], "left")
     own = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("c"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
