@@ -65,19 +65,19 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
-def picture(ids: DataFrame) -> DataFrame:
-    """``ids(doc_id)`` as a bit map ``(slot, bits)`` of PICTURE_BITS / 64 rows at most, so that it may be broadcast at any size."""
-    each = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(PICTURE_BITS)).alias("h"))
+def picture(ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The values of ``key`` as a bit map ``(slot, bits)`` of PICTURE_BITS / 64 rows at most, so that it may be broadcast at any size."""
+    each = ids.select(F.pmod(F.xxhash64(key), F.lit(PICTURE_BITS)).alias("h"))
     return each.groupBy(F.shiftright("h", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
 
 
-def pictured(docs: DataFrame, of: DataFrame, inside: bool = True) -> DataFrame:
-    """The rows of docs whose id the picture has, which are those of the set and a few others, or the rows that are surely not in it.
+def pictured(rows: DataFrame, of: DataFrame, key: str = "doc_id", inside: bool = True) -> DataFrame:
+    """The rows whose key the picture has, which are those of the set and a few others, or the rows that are surely not in it.
 
-    It keeps texts that cannot matter out of a shuffle; what is left is joined by the id.
+    It keeps rows that cannot matter out of a shuffle; what is left is joined by the key.
     """
-    cols = docs.columns
-    hashed = docs.withColumn("picture_h", F.pmod(F.xxhash64("doc_id"), F.lit(PICTURE_BITS)))
+    cols = rows.columns
+    hashed = rows.withColumn("picture_h", F.pmod(F.xxhash64(key), F.lit(PICTURE_BITS)))
     met = hashed.join(F.broadcast(of.select(F.col("slot").alias("picture_slot"), F.col("bits").alias("picture_bits"))), F.shiftright("picture_h", 6) == F.col("picture_slot"), "left")
     hit = F.coalesce(F.expr("(shiftright(picture_bits, cast(picture_h & 63 as int)) & 1L) = 1L"), F.lit(False))
     return met.filter(hit if inside else ~hit).select(*cols)

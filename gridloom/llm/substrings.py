@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, picture, pictured, prepare
 from .neardup import MIX, WordHashes, mixed
 
 WINDOW = 20
@@ -122,10 +122,11 @@ def _first_level(docs: DataFrame, short: int, window: int) -> DataFrame:
     return docs.mapInPandas(run, "h long, doc_id long, n long")
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
+def _repeated(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """``(doc_id, hs)``: each document's hashes that stand more than once in all."""
-    often = rows.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
-    return rows.join(often, "h").groupBy("doc_id").agg(F.collect_list("h").alias("hs"))
+    often = scratch.save(rows.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), f"often-{name}")
+    some = pictured(rows, scratch.save(picture(often, "h"), f"often-picture-{name}"), "h")
+    return some.join(often, "h").groupBy("doc_id").agg(F.collect_list("h").alias("hs"))
 
 
 def _spans(docs_hs: DataFrame, short: int, window: int) -> DataFrame:
@@ -161,23 +162,24 @@ def _level(spans: DataFrame, scratch: Scratch, size: int, window: int) -> DataFr
             yield pd.DataFrame([(ids[k], int(first[k]) + at, ws) for k, at, ws in row.runs(live)], columns=["doc_id", "at", "ws"])
 
     each = scratch.save(spans.mapInPandas(rows, "h long, doc_id long, n long").groupBy("h", "doc_id").agg(F.sum("n").alias("n")), f"rows-{size}")
-    joined = spans.join(_repeated(each), "doc_id")
+    joined = spans.join(_repeated(each, scratch, f"{size}"), "doc_id")
     return joined.mapInPandas(keep, "doc_id long, at int, ws array<long>")
 
 
 def _later(spans: DataFrame, scratch: Scratch, window: int) -> DataFrame:
-    """``(doc_id, starts)``: starts of windows that also start earlier, by doc_id and then place."""
+    """``(doc_id, starts)``: starts of windows that also start earlier, by doc_id and then place. Two hashes of 64 bits name a window."""
 
     def rows(batches):
         for b in batches:
             row = Row(_words(b), window)
             at = np.flatnonzero(row.live)
             k = row.owner[at]
-            yield pd.DataFrame({"h": window_hashes(row.words, window)[at].view(np.int64), "doc_id": b["doc_id"].to_numpy()[k], "at": (b["at"].to_numpy()[k] + row.place[at]).astype(np.int32)})
+            h, g = (window_hashes(w, window)[at].view(np.int64) for w in (row.words, mixed(row.words * MIX + np.uint64(3))))
+            yield pd.DataFrame({"h": h, "g": g, "doc_id": b["doc_id"].to_numpy()[k], "at": (b["at"].to_numpy()[k] + row.place[at]).astype(np.int32)})
 
-    each = scratch.save(spans.mapInPandas(rows, "h long, doc_id long, at int"), "windows")
-    first = scratch.save(each.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("h", "f"), "first")
-    later = each.join(first, "h").filter((F.col("doc_id") != F.col("f.doc_id")) | (F.col("at") != F.col("f.at")))
+    each = scratch.save(spans.mapInPandas(rows, "h long, g long, doc_id long, at int"), "windows")
+    first = scratch.save(each.groupBy("h", "g").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("h", "g", "f"), "first")
+    later = each.join(first, ["h", "g"]).filter((F.col("doc_id") != F.col("f.doc_id")) | (F.col("at") != F.col("f.at")))
     return later.groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
 
 
@@ -186,13 +188,14 @@ def repeated_starts(docs: DataFrame, scratch: Scratch, window: int = WINDOW) ->
     sizes = levels(window)
     named = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     rows = scratch.save(_first_level(named, sizes[0], window), "rows")
-    hs = scratch.save(_repeated(rows), "repeated")
-    scratch.drop("rows")
-    spans = scratch.save(_spans(named.join(hs, "doc_id"), sizes[0], window), f"spans-{sizes[0]}")
+    hs = scratch.save(_repeated(rows, scratch, "first"), "repeated")
+    scratch.drop("rows", "often-first")
+    some = pictured(named, scratch.save(picture(hs), "repeated-picture"))
+    spans = scratch.save(_spans(some.join(hs, "doc_id"), sizes[0], window), f"spans-{sizes[0]}")
     scratch.drop("repeated")
     for size in sizes[1:-1]:
         more = scratch.save(_level(spans, scratch, size, window), f"spans-{size}")
-        scratch.drop(f"rows-{size}", f"spans-{size // 2}")
+        scratch.drop(f"rows-{size}", f"often-{size}", f"spans-{size // 2}")
         spans = more
     starts = scratch.save(_later(spans, scratch, window), "starts")
     scratch.drop("windows", "first", f"spans-{sizes[-2] if len(sizes) > 1 else sizes[0]}")
@@ -214,8 +217,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...]
 
     A word goes if a window over it also starts earlier (smaller doc_id, or earlier in its document), on the input. Null
     text has no words. A null doc_id takes no part: its text is kept. A doc_id names one text: of repeated rows each is
-    that same text, and none is earlier than another. kept_text joins the kept words by one blank.
+    that same text, and none is earlier than another. kept_text joins the kept words by one blank. Texts without a
+    repeat stay out of the shuffle that brings the others their places. A kept column of a result's name is refused.
     """
+    if clash := {"n_words", "n_removed", "kept_sha256", "kept_text"} & set(keep):
+        raise ValueError(f"columns to keep have names of results: {sorted(clash)}")
+    prepare(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "substrings")
     starts = repeated_starts(docs, scratch, window)
     held = [c for c in keep if c not in ("doc_id", "text")]
@@ -225,7 +232,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...]
     def run(batches):
         for b in batches:
             out = []
-            for t, s in zip(b["text"], b["starts"], strict=True):
+            for t, s in zip(b["text"], b["repeat_starts"], strict=True):
                 words = plain_words(t)
                 gone = covered(len(words), s, window)
                 text = b" ".join(w for w, g in zip(words, gone, strict=True) if not g) if gone.any() else b" ".join(words)
@@ -238,4 +245,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...]
                 got[c] = b[c]
             yield got
 
-    return docs.select("doc_id", "text", *held).join(starts, "doc_id", "left").mapInPandas(run, schema)
+    own, drawn = docs.select("doc_id", "text", *held), scratch.save(picture(starts), "starts-picture")
+    plain = pictured(own, drawn, inside=False).withColumn("repeat_starts", F.lit(None).cast("array<int>"))
+    return plain.union(pictured(own, drawn).join(starts.withColumnRenamed("starts", "repeat_starts"), "doc_id", "left")).mapInPandas(run, schema)
