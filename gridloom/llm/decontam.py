@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, Scratch
+from .common import UPPER, Scratch, picture, pictured
 
 WINDOW = 10
 #: Everything between words; A-Z is lower-cased word by word afterwards, which gives the same words.
@@ -96,15 +96,14 @@ def proximity_matches(windows: DataFrame, index: DataFrame, scratch: Scratch, sl
     return found.join(goal, "window_id").filter("n = goal").select("window_id", "doc_id", "rk", "around")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``docs(doc_id, text)`` and ``items(item_id, text)`` -> ``(doc_id, n_words, n_hit, n_items, items_sha256,
-    contaminated)`` and the columns in ``keep``, a row per row of docs.
+#: What a null doc_id is called in postings.
+NO_ID = -(1 << 62)
 
-    Null has no words; rows with a null doc_id are judged like others; an item of null id names nothing in
-    items_sha256 and counts as no item. Without items nothing is hit.
-    """
-    scratch = Scratch(docs.sparkSession, "decontam")
-    base = docs.select("doc_id", "text").withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 62))))
+
+def hit_rows(docs: DataFrame, items: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
+    """``(of, rk, n_hit, n_items, items_sha256)`` of the rows of ``docs(doc_id, text)`` that hold a window; of is the
+    doc_id (NO_ID for null), rk tells rows of one doc_id apart by their text."""
+    base = docs.select("doc_id", "text").withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     windows, owners = test_windows(items, scratch, window)
     terms = scratch.save(windows.select(F.explode("terms").alias("term")).distinct(), "terms")
     index = scratch.save(build_index(base, terms), "index")
@@ -113,9 +112,31 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, keep:
     named = hits.select("doc_id", "rk", "window_id").distinct().join(owners.filter("item is not null"), "window_id").select("doc_id", "rk", "item").distinct()
     named = named.groupBy("doc_id", "rk").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
     found = scratch.save(words.join(named, ["doc_id", "rk"], "left"), "found").withColumnRenamed("doc_id", "of")
-    held = [F.col(c).alias(f"held_{c}") for c in keep]
-    each = docs.select(F.col("doc_id").alias("own"), F.coalesce("doc_id", F.lit(-(1 << 62))).alias("of"), F.col("text"), word_count(F.col("text")).alias("n_words"), *held)
-    each = each.select("own", "of", F.xxhash64("of", "text").alias("rk"), "n_words", *(f"held_{c}" for c in keep))
+    scratch.drop("index")
+    return found
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs(doc_id, text)`` and ``items(item_id, text)`` -> ``(doc_id, n_words, n_hit, n_items, items_sha256,
+    contaminated)``, a row per row of docs.
+
+    Null has no words; rows with a null doc_id are judged like others; an item of null id names nothing in
+    items_sha256 and counts as no item. Without items nothing is hit. Other columns of docs are not read.
+    """
+    found = hit_rows(docs, items, Scratch(docs.sparkSession, "decontam"), window)
+    each = docs.select(F.col("doc_id").alias("own"), F.coalesce("doc_id", F.lit(NO_ID)).alias("of"), F.col("text"), word_count(F.col("text")).alias("n_words"))
+    each = each.select("own", "of", F.xxhash64("of", "text").alias("rk"), "n_words")
     out = each.join(found, ["of", "rk"], "left")
     n = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return out.select(F.col("own").alias("doc_id"), "n_words", n.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n > 0).alias("contaminated"), *(F.col(f"held_{c}").alias(c) for c in keep if c != "doc_id"))
+    return out.select(F.col("own").alias("doc_id"), "n_words", n.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n > 0).alias("contaminated"))
+
+
+def without_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no window of items. A row goes by its own text, whatever its
+    doc_id; rows that share both share a fate."""
+    scratch = Scratch(docs.sparkSession, "decontam")
+    found = hit_rows(docs, items, scratch, window).select(F.col("of").alias("hit_of"), F.col("rk").alias("hit_rk"))
+    drawn = scratch.save(picture(found, "hit_rk"), "found-picture")
+    each = docs.withColumn("own_of", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("own_rk", F.xxhash64("own_of", "text"))
+    some = pictured(each, drawn, "own_rk").join(found, (F.col("own_of") == F.col("hit_of")) & (F.col("own_rk") == F.col("hit_rk")), "left_anti")
+    return pictured(each, drawn, "own_rk", inside=False).union(some).select(*docs.columns)
