@@ -235,7 +235,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     both = two.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("n"))
-    return both.filter(F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).select("a", "b")
+    return both.filter(F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).select("a", "b").distinct()
 
 
 def _sets(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str, known: DataFrame | None = None) -> DataFrame:
@@ -247,7 +247,7 @@ def _sets(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str, known:
     if is_empty(members):
         return known if known is not None else docs.sparkSession.createDataFrame([], "doc_id long, shingles array<long>")
     some = pictured(docs, scratch.save(picture(members), f"picture-{name}"))
-    sets = scratch.save(full_sets(some.join(members, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), f"sets-{name}")
+    sets = scratch.save(full_sets(some.join(members, "doc_id", "left_semi")), f"sets-{name}")
     return sets if known is None else known.union(sets)
 
 
@@ -292,30 +292,50 @@ def prefix_rows(sketch: DataFrame, percent: int = PERCENT) -> DataFrame:
     return known.select("doc_id", "n_shingles", "firsts", "n_rare").mapInArrow(run, "shingle long, doc_id long, n int, pos int, rare boolean")
 
 
-def exact_pairs(sketch: DataFrame, nodes: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
-    """Every pair of ``nodes(doc_id, group)`` in different groups that may reach ``percent``, without any limit.
-
-    A shingle that one group alone has in its prefixes makes no pair. Where several have it, the rows of its largest
-    group meet those of the others, never each other, so that a large group joined before costs its rows only. A pair
-    is left out where even all that stands before and behind the shingle cannot make up ``percent``.
-    """
+def shared_rows(sketch: DataFrame, nodes: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``prefix_rows`` of ``nodes(doc_id, group)`` whose shingle several of them have, with their group."""
     rows = prefix_rows(sketch, percent)
     w = Window.partitionBy("shingle")  # rare ones alone, so no task gets a crowd
     rare = rows.filter("rare").withColumn("low", F.min("doc_id").over(w)).withColumn("high", F.max("doc_id").over(w)).filter("low < high")
     some = scratch.save(rare.select("shingle", "doc_id", "n", "pos"), "shared-rare")
     some = some.union(rows.filter("not rare").select("shingle", "doc_id", "n", "pos"))
-    named = scratch.save(some.join(nodes, "doc_id"), "shared")
-    scratch.drop("shared-rare")
-    each = named.groupBy("shingle", "group").agg(F.count("*").alias("k"))
+    return some.join(nodes, "doc_id")
+
+
+def between_groups(shared: DataFrame) -> DataFrame:
+    """Those of ``shared(shingle, doc_id, n, pos, group)`` whose shingle several groups have; minor: not of its largest group."""
+    each = shared.groupBy("shingle", "group").agg(F.count("*").alias("k"))
     met = each.groupBy("shingle").agg(F.max(F.struct("k", "group")).alias("m"), F.count("*").alias("kinds")).filter("kinds > 1").select("shingle", F.col("m.group").alias("big"))
-    marked = scratch.save(named.join(met, "shingle").withColumn("minor", F.col("group") != F.col("big")).drop("big"), "met")
-    scratch.drop("shared")
-    a, b = marked.filter("minor").alias("a"), marked.alias("b")
+    return shared.join(met, "shingle").withColumn("minor", F.col("group") != F.col("big")).drop("big")
+
+
+def _led(met: DataFrame) -> DataFrame:
+    """A pair for each document of a minor group: with the document of a larger one that most often has fewest rarer
+    shingles before the one they share, which is what a group's common original looks like."""
+    lead = met.filter("not minor").groupBy("shingle").agg(F.min(F.struct("pos", "doc_id")).alias("l")).select("shingle", F.col("l.doc_id").alias("lead"))
+    each = met.filter("minor").join(lead, "shingle").groupBy("doc_id", "lead").agg(F.count("*").alias("k"))
+    best = each.groupBy("doc_id").agg(F.max_by("lead", F.struct("k", F.negative("lead"))).alias("lead"))
+    return best.select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct()
+
+
+def exact_pairs(met: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Every pair of different groups in ``met`` that may reach ``percent``, without any limit.
+
+    The rows of a shingle's largest group meet those of the others, never each other, so that a large group joined
+    before costs its rows only. The first shingle that two such sets share stands in the first n - need + 1 of either,
+    need being the intersection they have to have; and what they share in all is no more than what they share of their
+    prefixes and what is left behind the longer rest.
+    """
+    a, b = met.filter("minor").alias("a"), met.alias("b")
+    need = F.ceil((F.col("a.n") + F.col("b.n")).cast("long") * percent / F.lit(100.0 + percent) - 1e-6)
     most = F.least("a.pos", "b.pos") + 1 + F.least(F.col("a.n") - F.col("a.pos") - 1, F.col("b.n") - F.col("b.pos") - 1)
-    enough = most.cast("long") * (100 + percent) >= (F.col("a.n") + F.col("b.n")).cast("long") * percent
     once = ~F.col("b.minor") | (F.col("a.doc_id") < F.col("b.doc_id"))
-    both = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.group") != F.col("b.group")) & once & enough)
-    return both.select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b")).distinct()
+    sizes = (F.col("a.n").cast("long") * 100 >= F.col("b.n").cast("long") * percent) & (F.col("b.n").cast("long") * 100 >= F.col("a.n").cast("long") * percent)
+    both = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.group") != F.col("b.group")) & once & sizes & (most >= need))
+    rest = lambda n: F.ceil(n.cast("long") * percent / F.lit(100.0) - 1e-6) - 1
+    early = ((F.col("a.pos") <= F.col("a.n") - need) & (F.col("b.pos") <= F.col("b.n") - need)).cast("int")
+    each = both.select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b"), early.alias("early"), (need - F.greatest(rest(F.col("a.n")), rest(F.col("b.n")))).alias("least"))
+    return each.groupBy("a", "b").agg(F.count("*").alias("k"), F.max("least").alias("least"), F.max("early").alias("early")).filter("k >= least and early = 1").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -327,7 +347,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     different components that share a shingle of their prefixes and may reach ``percent`` are confirmed, so the
     components are those of all links, up to a clash of 64-bit shingle hashes.
     Null, empty or blank texts have no shingles and are linked with nothing. A null doc_id is linked with nothing, has
-    a null component_id and is kept. Rows of one doc_id are one node. Other columns of docs are not read.
+    a null component_id and is kept. Rows of one doc_id are one node, which has the links of each of its texts. Other
+    columns of docs are not read.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -335,20 +356,33 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select("doc_id", "text")
     sketch = scratch.save(sketches(docs, percent), "sketch")
     known = sketch.filter("n_shingles > 0 and doc_id is not null")
+    if not is_empty(known.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1")):
+        docs = docs.distinct()
     sets_of = scratch.save(known.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("doc_id")), "named")
-    reps = scratch.save(known.select("doc_id", "sig").join(sets_of.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "reps")
+    reps = scratch.save(known.select("doc_id", "sig").join(sets_of.select("doc_id").distinct(), "doc_id", "left_semi"), "reps")
     pairs = scratch.save(_with_estimate(candidates(forest(reps)), reps).filter(F.col("guess") >= CHECK_FROM), "pairs")
     sets = _sets(docs, pairs, scratch, "forest")
     first = scratch.save(_best(pairs), "pairs-best")
     groups = _joined(spark.createDataFrame([], "node long, component long"), scratch.save(confirmed(first, sets, percent), "links-best"), scratch, "best")
     rest = _across(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), groups)
     groups = _joined(groups, scratch.save(confirmed(rest, sets, percent), "links-rest"), scratch, "rest")
-    nodes = scratch.save(reps.select("doc_id").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("group")), "nodes")
-    apart = scratch.save(exact_pairs(sketch, nodes, scratch, percent), "pairs-exact")
-    scratch.drop("met")
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("group", F.coalesce("component", "doc_id")).drop("component")
+
+    shared = scratch.save(shared_rows(sketch, grouped(reps.select("doc_id").distinct()), scratch, percent), "shared")
+    scratch.drop("shared-rare")
+    met = scratch.save(between_groups(shared), "met")
+    scratch.drop("shared")
+    led = scratch.save(_with_estimate(_led(met), reps).filter(F.col("guess") >= CHECK_FROM).select("a", "b"), "pairs-led")
+    sets = _sets(docs, led, scratch, "led", sets)
+    groups = _joined(groups, scratch.save(confirmed(led, sets, percent), "links-led"), scratch, "led")
+    met = scratch.save(between_groups(grouped(met.drop("group", "minor"))), "met-last")
+    apart = scratch.save(exact_pairs(met, percent), "pairs-exact")
+    scratch.drop("met", "met-last")
     sets = _sets(docs, apart, scratch, "exact", sets)
     groups = _joined(groups, scratch.save(confirmed(apart, sets, percent), "links-exact"), scratch, "exact")
-    scratch.drop("sets-forest", "sets-exact", "pairs", "pairs-exact")
+    scratch.drop("sets-forest", "sets-led", "sets-exact", "pairs", "pairs-exact")
     named = sets_of.withColumnRenamed("doc_id", "node").join(groups, "node", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "node").alias("c"))
     out = sketch.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2", "n_shingles"], "left")
     own = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("c"))
