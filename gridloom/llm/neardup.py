@@ -322,20 +322,21 @@ def exact_pairs(met: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Every pair of different groups in ``met`` that may reach ``percent``, without any limit.
 
     The rows of a shingle's largest group meet those of the others, never each other, so that a large group joined
-    before costs its rows only. The first shingle that two such sets share stands in the first n - need + 1 of either,
+    before costs its rows only. Ahead of a shared shingle two sets share no more than either has there in ``met``
+    (before), and behind it no more than the shorter rest. The first shingle that two such sets share stands in the first n - need + 1 of either,
     need being the intersection they have to have; and what they share in all is no more than what they share of their
     prefixes and what is left behind the longer rest.
     """
     a, b = met.filter("minor").alias("a"), met.alias("b")
     need = F.ceil((F.col("a.n") + F.col("b.n")).cast("long") * percent / F.lit(100.0 + percent) - 1e-6)
-    most = F.least("a.pos", "b.pos") + 1 + F.least(F.col("a.n") - F.col("a.pos") - 1, F.col("b.n") - F.col("b.pos") - 1)
+    most = F.least("a.before", "b.before") + 1 + F.least(F.col("a.n") - F.col("a.pos") - 1, F.col("b.n") - F.col("b.pos") - 1)
     once = ~F.col("b.minor") | (F.col("a.doc_id") < F.col("b.doc_id"))
     sizes = (F.col("a.n").cast("long") * 100 >= F.col("b.n").cast("long") * percent) & (F.col("b.n").cast("long") * 100 >= F.col("a.n").cast("long") * percent)
     both = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.group") != F.col("b.group")) & once & sizes & (most >= need))
     rest = lambda n: F.ceil(n.cast("long") * percent / F.lit(100.0) - 1e-6) - 1
     early = ((F.col("a.pos") <= F.col("a.n") - need) & (F.col("b.pos") <= F.col("b.n") - need)).cast("int")
     each = both.select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b"), early.alias("early"), (need - F.greatest(rest(F.col("a.n")), rest(F.col("b.n")))).alias("least"))
-    return each.groupBy("a", "b").agg(F.count("*").alias("k"), F.max("least").alias("least"), F.max("early").alias("early")).filter("k >= least and early = 1").select("a", "b")
+    return each.groupBy("a", "b").agg(F.count("*").alias("k"), F.min("least").alias("least"), F.max("early").alias("early")).filter("k >= least and early = 1").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -377,7 +378,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     led = scratch.save(_with_estimate(_led(met), reps).filter(F.col("guess") >= CHECK_FROM).select("a", "b"), "pairs-led")
     sets = _sets(docs, led, scratch, "led", sets)
     groups = _joined(groups, scratch.save(confirmed(led, sets, percent), "links-led"), scratch, "led")
-    met = scratch.save(between_groups(grouped(met.drop("group", "minor"))), "met-last")
+    before = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "shingle")) - 1
+    met = scratch.save(between_groups(grouped(met.drop("group", "minor")).withColumn("before", before)), "met-last")
     apart = scratch.save(exact_pairs(met, percent), "pairs-exact")
     scratch.drop("met", "met-last")
     sets = _sets(docs, apart, scratch, "exact", sets)
