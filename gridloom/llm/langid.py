@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from .common import crc_of, prepare, smallest
 
 UNKNOWN = "und"
-#: At most this many labelled documents are learned from, and this many characters of each.
+#: About this many labelled documents are learned from (one of each language at least), and CUTS pieces of CUT_CHARS
+#: characters of each, from its beginning to its end.
 SAMPLE_DOCS = 3000
-SAMPLE_CHARS = 1200
-MOST_LANGUAGES = 256
+CUTS, CUT_CHARS = 8, 150
 SEGMENT = 64
 LETTER = re.compile(r"[^\W\d_]")
 #: A-Z lower-cased; bytes that are no letters become blanks.
@@ -171,19 +171,28 @@ def predict(net: Network, texts: list[str | None], rows: int = 4096) -> tuple[li
     return names, [0.0 if k is None else float(min(1.0, max(0.0, s[b]))) for k, b, s in zip(known, best, share, strict=True)]
 
 
-def train(docs: DataFrame, allowed: Column, sample: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, **how) -> Network:
-    """Fits on a bounded sample of the rows that ``allowed`` names: alike many of each language, by hash of the id."""
+def cuts_of(text: Column, cuts: int = CUTS, chars: int = CUT_CHARS) -> Column:
+    """Pieces at even distances over the whole text; a text no longer than they are together is taken whole."""
+    n = F.length(text)
+    each = [F.substring(text, 1 + F.floor((n - chars) * k / F.lit(max(1.0, cuts - 1.0))).cast("int"), F.lit(chars)) for k in range(cuts)]
+    return F.when(n <= cuts * chars, text).otherwise(F.concat_ws(" ", *each))
+
+
+def train(docs: DataFrame, allowed: Column, sample: int = SAMPLE_DOCS, **how) -> Network:
+    """Fits on a sample of the rows that ``allowed`` names: alike many of each language, by hash of the id.
+
+    All of a language's rows are taken where it has fewer than its part of ``sample``.
+    """
     rows = docs.filter(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Network([], [], [], np.zeros((0, 0)), np.zeros(0))
     each = max(1, sample // len(counts))
     dice = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, 2 * each / n))) for k, n in counts.items()))
-    some = rows.filter(dice < share).select("lang", F.substring("text", 1, chars).alias("text"), F.xxhash64(F.col("doc_id"), F.lit(12)).alias("h"))
-    got = smallest(some, sample, "h", "lang", "text").toPandas()
+    shares = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (2 * each + 20) / n))))
+    some = rows.filter(dice < F.element_at(shares, F.col("lang"))).select("lang", cuts_of(F.col("text")).alias("text"), F.xxhash64(F.col("doc_id"), F.lit(12)).alias("h"))
+    got = smallest(some, 4 * max(sample, len(counts)) + 100, "h", "lang", "text").toPandas()
+    got = got[got.groupby("lang").cumcount() < each]
     return fit([fold(t) for t in got["text"]], list(got["lang"]), **how)
 
 
@@ -195,8 +204,11 @@ def held_out() -> Column:
 def identify(docs: DataFrame, net: Network, keep: tuple[str, ...] = ()) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> the columns in ``keep`` with ``lang_pred`` and ``score``, from whole texts.
 
-    Null texts and texts without a letter are 'und' with score 0, as is everything if nothing could be learned.
+    Null texts and texts without a letter are 'und' with score 0, as is everything if nothing could be learned. A kept
+    column of a result's name is refused.
     """
+    if clash := {"lang_pred", "score"} & set(keep):
+        raise ValueError(f"columns to keep have names of results: {sorted(clash)}")
     prepare(docs.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double")
