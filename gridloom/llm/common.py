@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Bounds of what a Python worker gets at once. A row is never cut, so one longer text is a batch of its own.
-ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
+ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
 #: Bits of a set's picture: at most PICTURE_BITS / 64 rows, whatever the set's size.
 PICTURE_BITS = 1 << 24
 
