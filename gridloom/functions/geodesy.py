@@ -43,6 +43,21 @@ def add_utm(df: DataFrame, lat: str, lon: str, datum: str = "nad27", east: bool
     return four.select(*kept, (500000.0 + SCALE * nu * c * x).alias(f"{prefix}x"), (SCALE * y + F.when(south, F.lit(1e7)).otherwise(F.lit(0.0))).alias(f"{prefix}y"), F.when(phi.isNotNull(), F.when(south, -F.col("_z")).otherwise(F.col("_z"))).alias(f"{prefix}zone"))
 
 
+def add_utm_by(df: DataFrame, lat: str, lon: str, datum: str, prefix: str = "utm_") -> DataFrame:
+    """The same with a datum for each row, named in a column; an unknown or null name stands for the first datum."""
+    kept, first = df.columns, next(iter(DATUMS))
+    parts = [f"{prefix}{c}" for c in ("x", "y", "zone")]
+    for name in DATUMS:
+        df = add_utm(df, lat, lon, name, prefix=f"_{name}_")
+    out = df
+    for c in ("x", "y", "zone"):
+        v = F.col(f"_{first}_{c}")
+        for name in list(DATUMS)[1:]:
+            v = F.when(F.lower(datum) == name, F.col(f"_{name}_{c}")).otherwise(v)
+        out = out.withColumn(f"{prefix}{c}", v)
+    return out.select(*kept, *parts)
+
+
 def add_latlon(df: DataFrame, x: str, y: str, zone: str, datum: str = "nad27", prefix: str = "geo_") -> DataFrame:
     """The inverse: adds ``<prefix>lat`` and ``<prefix>lon``; the foot point takes a fixed number of Newton steps."""
     a, e2, a0, a2, a4, a6 = DATUMS[datum]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Key, category, major, name, minor (-1: comes from the value).
@@ -44,12 +44,13 @@ LETTERS = {
     61: "T601 E609 R611", 62: "O602 U605", 63: "A603 D604 U608", 64: "P612 G613", 75: "U600 A603 S606", 76: "U601 A602 C604", 85: "U601 S617", 86: "C602 A603 R618",
     87: "W604 O605 G606 C607 V609 S610 L611 B612 A619 H620 I621 P622 E623 R624", 89: "R613 L614",
 }
+# What says nothing, added numbers, codes of elevations and monuments, of routes and their types, and themes.
 BLANKS = ("", "-9", "-99", "-999", "-999.99", "-9999.99")
 OFFSETS = {59: 600, 95: 680}
 ELEVATIONS = {23: (52, 57), 46: (154, 157)}
 MONUMENTS = {42: 95, 112: 308}
 ROUTES = (("I", 172), ("US", 173), ("SR", 174), ("RR", 175), ("CR", 176))
-#: (keyword, category) of themes.
+ROUTE_TYPES = (("Bypass", 615), ("Alternate", 616), ("Business", 617), ("Spur", 619), ("Loop", 620), ("Connector", 621), ("Truck", 622))
 THEMES = (("BOUNDAR", 90), ("HYDROGRAPHY", 50), ("HYPSOGRAPHY", 20), ("ROADS", 170), ("RAIL", 180), ("PIPE", 190), ("VEGETATI", 70), ("NON-VEG", 80), ("MANMADE", 200), ("SURVEY CONTROL", 150), ("PUBLIC LAND", 300), ("U.S. PUBLIC", 300))
 
 
@@ -65,50 +66,52 @@ def kind_of(key: int, minor: int) -> str:
     return {25: "rounded", 40: "split", 108: "township", 109: "range"}.get(key, "flag" if minor >= 0 else "integer")
 
 
-def _pairs(key: int, major: int, minor: int, value: Column) -> Column:
-    """array<struct<major, minor>> of one entry; empty where the value says nothing."""
-    v = F.trim(value)
-    n = F.regexp_extract(v, r"^[-+]?\d+", 0).try_cast("int")
-    real = v.try_cast("double")
-    pair = lambda a, b: F.struct(F.lit(a).cast("int").alias("major") if isinstance(a, int) else a.cast("int").alias("major"), b.cast("int").alias("minor"))
-    some = lambda ok, *ps: F.when(F.coalesce(ok, F.lit(False)), F.array(*ps))
+ENTRY = "category int, entries array<struct<key:int,name:string,kind:string,major:int,minor:int,up:int,down:int,letters:map<string,int>>>"
+
+
+def dictionary(spark: SparkSession) -> DataFrame:
+    """A row per category with its entries in order: a table to broadcast, of one size whatever the data."""
+    by: dict[int, list] = {}
+    for key, category, major, name, minor in FEATURES:
+        kind = kind_of(key, minor)
+        up, down = ELEVATIONS.get(key, (MONUMENTS.get(key, major), None))
+        letters = {t[0]: int(t[1:]) for t in LETTERS.get(key, "").split()}
+        by.setdefault(category, []).append((key, name, kind, 93 if kind == "split" else up if kind in ("elevation", "monument") else major, OFFSETS.get(key, minor), up, down, letters))
+    return spark.createDataFrame(sorted(by.items()), ENTRY)
+
+
+def _decoded(e: Column, v: Column) -> Column:
+    """array<struct<major, minor>> of a value under an entry; null where the value says nothing."""
+    kind, n, real = e["kind"], F.regexp_extract(v, r"^[-+]?\d+", 0).try_cast("int"), v.try_cast("double")
     good = ~v.isin(*BLANKS)
-    kind = kind_of(key, minor)
-    if kind == "flag":
-        return some(v.startswith("Y"), pair(major, F.lit(minor)))
-    if kind == "letter":
-        code = F.lit(None).cast("int")
-        for t in LETTERS[key].split():
-            code = F.when(v.startswith(t[0]), F.lit(int(t[1:]))).otherwise(code)
-        return some(code.isNotNull(), pair(major, code))
-    if kind == "offset":
-        return some(good & n.isNotNull(), pair(major, n + OFFSETS[key]))
-    if kind == "elevation":
-        up, down = ELEVATIONS[key]
-        return some(good & real.isNotNull(), pair(F.when(real < 0, down).otherwise(up), F.round(F.abs(real))))
-    if kind == "rounded":
-        return some(good & real.isNotNull(), pair(major, F.round(real)))
-    if kind == "split":
-        return some(good & n.isNotNull(), pair(93, F.floor(n / 1000)), pair(94, n % 1000))
-    if kind == "monument":
-        return some(good & n.isNotNull(), pair(MONUMENTS[key], n))
-    if kind in ("township", "range"):
-        part = F.when(v.contains("1/4") | v.rlike(r"^\d+1A"), 2000).when(v.contains("1/2") | v.rlike(r"^\d+2A"), 4000).when(v.contains("3/4") | v.rlike(r"^\d+3A"), 6000).otherwise(0)
-        big = F.when(v.endswith("S"), 303).otherwise(302) if kind == "township" else F.when(v.endswith("W"), 305).otherwise(304)
-        return some(good & n.isNotNull(), pair(big, n + part))
-    return some(good & n.isNotNull(), pair(major, n))
+    pair = lambda a, b: F.struct(a.cast("int").alias("major"), b.cast("int").alias("minor"))
+    part = F.regexp_extract(v, r"^[-+]?\d+ ([123]/[24])", 1)
+    side = F.regexp_extract(v, r"^[-+]?\d+(?: (?:1/4|1/2|3/4))? *(.?)", 1)
+    quarters = F.when(part == "1/4", 2000).when(part == "1/2", 4000).when(part == "3/4", 6000).otherwise(0)
+    code = F.try_element_at(e["letters"], F.substring(v, 1, 1))
+    number, decimal = good & n.isNotNull(), good & real.isNotNull()
+    return (
+        F.when((kind == "flag") & v.startswith("Y"), F.array(pair(e["major"], e["minor"])))
+        .when((kind == "letter") & code.isNotNull(), F.array(pair(e["major"], code)))
+        .when((kind == "offset") & number, F.array(pair(e["major"], n + e["minor"])))
+        .when((kind == "elevation") & decimal, F.array(pair(F.when(real < 0, e["down"]).otherwise(e["up"]), F.round(F.abs(real)))))
+        .when((kind == "rounded") & decimal, F.array(pair(e["major"], F.round(real))))
+        .when((kind == "split") & number, F.array(pair(F.lit(93), F.floor(n / 1000)), pair(F.lit(94), n % 1000)))
+        .when((kind == "township") & number, F.array(pair(F.when(side == "S", 303).otherwise(302), n + quarters)))
+        .when((kind == "range") & number, F.array(pair(F.when(side == "W", 305).otherwise(304), n + quarters)))
+        .when(kind.isin("integer", "monument") & number, F.array(pair(e["major"], n)))
+    )
 
 
 def decode(rows: DataFrame) -> DataFrame:
     """``(..., category, label, value)`` -> its other columns and ``(seq, major, minor)``.
 
-    A label belongs to the first entry of its category whose name it begins with. The dictionary is part of the plan.
+    A label belongs to the first entry of its category whose name it begins with. The dictionary is broadcast.
     """
-    out = F.lit(None).cast("array<struct<major:int,minor:int>>")
-    for key, category, major, name, minor in reversed(FEATURES):
-        out = F.when((F.col("category") == category) & F.col("label").startswith(name), _pairs(key, major, minor, F.col("value"))).otherwise(out)
     rest = [c for c in rows.columns if c not in ("category", "label", "value")]
-    return rows.select(*rest, F.posexplode(out).alias("seq", "t")).select(*rest, "seq", "t.major", "t.minor")
+    met = rows.join(F.broadcast(dictionary(rows.sparkSession)), "category")
+    entry = met.select(*rest, F.trim("value").alias("v"), F.get(F.filter("entries", lambda x: F.col("label").startswith(x["name"])), F.lit(0)).alias("e"))
+    return entry.filter("e is not null").select(*rest, F.posexplode(_decoded(F.col("e"), F.col("v"))).alias("seq", "t")).select(*rest, "seq", "t.major", "t.minor")
 
 
 def entity_label(label: Column) -> Column:
@@ -116,17 +119,41 @@ def entity_label(label: Column) -> Column:
     return F.struct(F.substring(label, 1, 3).try_cast("int").alias("major"), F.substring(label, 4, 4).try_cast("int").alias("minor"))
 
 
+def _letters(s: Column) -> Column:
+    """A = 1; two letters are 100 * a + b."""
+    one = F.ascii(s) - 64
+    return F.when(F.length(s) == 1, one).when(F.length(s) == 2, one * 100 + F.ascii(F.substring(s, 2, 1)) - 64)
+
+
 def route(value: Column) -> Column:
-    """Jurisdiction and number of a route; a number of letters only has major 177 (A = 1, two letters 100 * a + b)."""
+    """array<struct<major, minor>> of a route: its jurisdiction with the number, and the number's letters as 177.
+
+    Letters behind a number come second, letters ahead of one come first; a jurisdiction without a number has 0. A
+    text without a jurisdiction gives its letters alone.
+    """
     v = F.trim(value)
-    tail = F.trim(F.regexp_replace(v, "^(I|US|SR|RR|CR)(?=[ 0-9A-Z])", ""))
-    major = F.lit(None).cast("int")
-    for name, code in ROUTES:
-        major = F.when(v.rlike(f"^{name}([ 0-9]|$)"), F.lit(code)).otherwise(major)
-    n = F.regexp_extract(tail, r"^\d+", 0).try_cast("int")
-    letters = F.regexp_extract(tail, r"^([A-Z]{1,2})$", 1)
-    code = F.when(F.length(letters) == 1, F.ascii(letters) - 64).when(F.length(letters) == 2, (F.ascii(letters) - 64) * 100 + F.ascii(F.substring(letters, 2, 1)) - 64)
-    return F.struct(F.when(n.isNotNull(), major).when(code.isNotNull(), F.lit(177)).alias("major"), F.coalesce(n, code).alias("minor"))
+    major, tail = F.lit(None).cast("int"), v
+    for name, code in reversed(ROUTES):
+        here = F.instr(v, name) > 0
+        major = F.when(here, F.lit(code)).otherwise(major)
+        tail = F.when(here, F.trim(F.substring(v, F.instr(v, name) + len(name), F.length(v)))).otherwise(tail)
+    n = F.coalesce(F.regexp_extract(tail, r"^[A-Z]{0,2} *(\d+)", 1).try_cast("int"), F.lit(0))
+    front, back = _letters(F.regexp_extract(tail, r"^([A-Z]{1,2})", 1)), _letters(F.regexp_extract(tail, r"^\d+ *([A-Z]{1,2})", 1))
+    pair = lambda a, b: F.struct(a.cast("int").alias("major"), b.cast("int").alias("minor"))
+    return F.filter(F.array(pair(F.lit(177), front), pair(major, n), pair(F.lit(177), back)), lambda t: t["major"].isNotNull() & t["minor"].isNotNull())
+
+
+def route_type(value: Column) -> Column:
+    """170 and the code of a kind of route; null for another word."""
+    out = F.lit(None).cast("int")
+    for word, code in ROUTE_TYPES:
+        out = F.when(value.startswith(word), F.lit(code)).otherwise(out)
+    return F.when(out.isNotNull(), F.struct(F.lit(170).alias("major"), out.alias("minor")))
+
+
+def coincident(category: Column, number: Column) -> Column:
+    """Features that coincide have the major of their theme plus 9."""
+    return F.struct((category + 9).cast("int").alias("major"), number.cast("int").alias("minor"))
 
 
 def elevation_metres(v: Column) -> Column:

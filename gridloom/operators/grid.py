@@ -48,30 +48,55 @@ def spacing(lat: float, dlat: float, dlon: float, width: int, height: int) -> tu
     return dlat / height * north, math.sqrt((dlat**2 + dlon**2) / (width**2 + height**2)) * diagonal
 
 
-def gradient(cells: DataFrame, res_y: float, res_xy: float, magnify: float = 1.0) -> DataFrame:
-    """The steeper of the falls from the north-west and north neighbours; cells without both, or without data, have none."""
+def row_spacing(row: Column, north: float, dlat: float, dlon: float, width: int, height: int) -> Column:
+    """Metres between diagonal neighbours at each row of an image whose upper edge lies at ``north``."""
+    lat = north - row.cast("double") / height * dlat
+    east = 1.1132e5 * F.cos(F.radians(lat))
+    return math.sqrt((dlat**2 + dlon**2) / (width**2 + height**2)) * F.sqrt(1.1095e5**2 + east * east)
+
+
+def gradient(cells: DataFrame, res_y: float, res_xy: float | Column, magnify: float = 1.0) -> DataFrame:
+    """The steeper of the falls from the north-west and north neighbours; cells without both, or without data, have none.
+
+    ``res_xy`` may be a column of the row ``i``, as in ``row_spacing``.
+    """
     near = around(cells, {"n": (-1, 0), "nw": (-1, -1)})
     known = F.col("n").isNotNull() & F.col("nw").isNotNull() & F.col("elev").isNotNull()
-    slope = F.greatest((F.col("nw") - F.col("elev")) / F.lit(res_xy), (F.col("n") - F.col("elev")) / F.lit(res_y), F.lit(-1e10)) * magnify
+    across = res_xy if isinstance(res_xy, Column) else F.lit(res_xy)
+    slope = F.greatest((F.col("nw") - F.col("elev")) / across, (F.col("n") - F.col("elev")) / F.lit(res_y), F.lit(-1e10)) * magnify
     return near.select("i", "j", "elev", F.when(known, slope).alias("gradient"))
 
 
+def tile_stats(cells: DataFrame, size: int = 16) -> DataFrame:
+    """Per tile of ``size`` rows and columns: samples with data and their range."""
+    at = lambda c, n: F.floor(F.col(c) / size).cast("int").alias(n)
+    return cells.groupBy(at("i", "ti"), at("j", "tj")).agg(F.count("elev").alias("n"), F.min("elev").alias("lo"), F.max("elev").alias("hi"))
+
+
+def longest_profile(profiles: DataFrame) -> DataFrame:
+    """Per file the most samples of a profile ``(file, samples)``."""
+    return profiles.groupBy("file").agg(F.max(F.size("samples")).alias("longest"))
+
+
 def contour_level(v: Column, step: float) -> Column:
     return F.round(F.ceil(F.floor(v / step) * step)).cast("int")
 
 
-def contours(cells: DataFrame, step: float, fill: bool = False) -> DataFrame:
-    """Orange where a cell's level is above any of its eight neighbours'; cells without data count as very high.
+def contours(cells: DataFrame, step: float, fill: bool = False, mask: bool = False) -> DataFrame:
+    """Orange where a cell's level is above any of its eight neighbours'.
 
+    Cells without data count as very high, which draws lines around holes; ``mask`` leaves them out and white instead.
     The first row and column are left out, and the last of each is white.
     """
     full = cells.select("i", "j", contour_level(F.coalesce("elev", F.lit(NO_DATA)), step).alias("elev"))
     ring = {f"d{k}": o for k, o in enumerate((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b)}
     near = around(full, ring)
-    low = F.least(*(F.col(k) for k in ring))
+    void = contour_level(F.lit(NO_DATA), step)
+    low = F.least(*((F.when(F.col(k) != void, F.col(k)) if mask else F.col(k)) for k in ring))
     inner = F.greatest(*(F.col(k).isNull().cast("int") for k in ring)) == 0
+    bare = (F.col("elev") == void) if mask else F.lit(False)
     plain = (F.pmod(F.round(F.floor(F.col("elev") / step)).cast("int"), F.lit(13)) * 16) if fill else F.lit(WHITE)
-    return near.filter("i >= 1 and j >= 1").select("i", "j", F.when(~inner, F.lit(WHITE)).when(F.col("elev") > low, F.lit(ORANGE)).otherwise(plain).alias("color"))
+    return near.filter("i >= 1 and j >= 1").select("i", "j", F.when(~inner | bare, F.lit(WHITE)).when(F.col("elev") > low, F.lit(ORANGE)).otherwise(plain).alias("color"))
 
 
 def kernel(radius: int, spread: float | None = None) -> list[tuple[int, int, int]]:
@@ -80,17 +105,18 @@ def kernel(radius: int, spread: float | None = None) -> list[tuple[int, int, int
     return [(a, b, weight(a, b)) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1)]
 
 
-def smooth(cells: DataFrame, weights: list[tuple[int, int, int]], keep_void: bool = False) -> DataFrame:
+def smooth(cells: DataFrame, weights: list[tuple[int, int, int]], keep_void: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """Weighted mean of the neighbours that have data, rounded; ``keep_void`` leaves cells without data as they are.
+    ``by`` names columns that keep grids apart.
 
     Values are sent to their neighbours' rows as partial sums: the shuffle carries one row per target and map task.
     """
     table = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(w).alias("w")) for a, b, w in weights if w > 0))
-    sent = cells.filter("elev is not null").select("elev", "i", "j", F.explode(table).alias("t")).select((F.col("i") + F.col("t.a")).alias("i"), (F.col("j") + F.col("t.b")).alias("j"), (F.col("elev") * F.col("t.w")).cast("long").alias("v"), F.col("t.w").cast("long").alias("w"), F.lit(0).alias("own"), F.lit(None).cast("int").alias("was"))
-    own = cells.select("i", "j", F.lit(0).cast("long").alias("v"), F.lit(0).cast("long").alias("w"), F.lit(1).alias("own"), F.col("elev").alias("was"))
-    out = sent.union(own).groupBy("i", "j").agg(F.sum("v").alias("v"), F.sum("w").alias("w"), F.max("own").alias("own"), F.max("was").alias("was")).filter("own = 1")
+    sent = cells.filter("elev is not null").select(*by, "elev", "i", "j", F.explode(table).alias("t")).select(*by, (F.col("i") + F.col("t.a")).alias("i"), (F.col("j") + F.col("t.b")).alias("j"), (F.col("elev") * F.col("t.w")).cast("long").alias("v"), F.col("t.w").cast("long").alias("w"), F.lit(0).alias("own"), F.lit(None).cast("int").alias("was"))
+    own = cells.select(*by, "i", "j", F.lit(0).cast("long").alias("v"), F.lit(0).cast("long").alias("w"), F.lit(1).alias("own"), F.col("elev").alias("was"))
+    out = sent.union(own).groupBy(*by, "i", "j").agg(F.sum("v").alias("v"), F.sum("w").alias("w"), F.max("own").alias("own"), F.max("was").alias("was")).filter("own = 1")
     mean = F.when(F.col("w") > 0, F.round(F.col("v") / F.col("w")).cast("int"))
-    return out.select("i", "j", (F.when(F.col("was").isNotNull(), mean) if keep_void else mean).alias("elev"))
+    return out.select(*by, "i", "j", (F.when(F.col("was").isNotNull(), mean) if keep_void else mean).alias("elev"))
 
 
 #: Opposite neighbours (rows, columns) that may bridge a cell without data.
@@ -163,6 +189,12 @@ def transpose(cells: DataFrame) -> DataFrame:
     return cells.select(F.col("j").alias("i"), F.col("i").alias("j"), "elev")
 
 
+def height_range(cells: DataFrame) -> DataFrame:
+    """``(lo, hi)`` of the height field: cells without data are not counted, those below sea level count as 0."""
+    up = F.greatest("elev", F.lit(0))
+    return cells.filter("elev is not null").agg(F.min(up).alias("lo"), F.max(up).alias("hi"))
+
+
 def height_field(cells: DataFrame) -> DataFrame:
     """0 for no data and below sea level, else scaled so that the highest is 65535."""
     top = cells.agg(F.max(F.greatest("elev", F.lit(0))).alias("top"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,14 +98,17 @@ def clip(segs: DataFrame, west: float, south: float, east: float, north: float)
 
 
 def draw(segs: DataFrame) -> DataFrame:
-    """Pixels of integer segments: both ends, and one for each step of the longer axis between them."""
+    """Pixels of integer segments: both ends, and one for each step of the longer axis between them.
+
+    The longer axis moves by one a step, so a segment's pixels differ and nothing is shuffled.
+    """
     c = F.col
     dx, dy = c("x2") - c("x1"), c("y2") - c("y1")
     n = F.greatest(F.abs(dx), F.abs(dy))
     k = segs.select("*", n.alias("n"), F.explode(F.sequence(F.lit(0), n)).alias("k"))
     at = lambda a, d: F.when(c("k") == c("n"), c(a) + d).otherwise(F.round(c(a) + c("k") * F.try_divide(d.cast("double"), c("n")))).cast("int")
     rest = [x for x in segs.columns if x not in ("x1", "y1", "x2", "y2")]
-    return k.select(*rest, F.coalesce(at("x1", dx), c("x1")).alias("x"), F.coalesce(at("y1", dy), c("y1")).alias("y")).distinct()
+    return k.select(*rest, F.coalesce(at("x1", dx), c("x1")).alias("x"), F.coalesce(at("y1", dy), c("y1")).alias("y"))
 
 
 def composite(pixels: DataFrame) -> DataFrame:
@@ -130,26 +135,126 @@ def flood_fill(pixels: DataFrame, seeds: DataFrame, color: int) -> DataFrame:
     return pixels.groupBy("box").cogroup(seeds.groupBy("box")).applyInPandas(run, "box long, x int, y int")
 
 
+def walk_rings(ids, entries, exits, tops) -> list[int]:
+    """Signed ids in the order of a walk that starts at the line of greatest top; 0 where an island begins.
+
+    The next line is the first of the rest that enters where the last one left; it changes places with the one that
+    stands there. Where none does, or a line is a loop by itself, the line that stands next moves to the end of the list.
+    """
+    order = list(range(len(ids)))
+    if not order:
+        return []
+    lead = max(order, key=lambda k: (tops[k], -k))
+    order[0], order[lead] = lead, 0
+    place = {k: at for at, k in enumerate(order)}
+    into: dict = {}
+    for k, node in enumerate(entries):
+        into.setdefault(node, set()).add(k)
+    out, j = [], 0
+    while j < len(order):
+        cur = order[j]
+        into[entries[cur]].discard(cur)
+        out.append(int(ids[cur]))
+        after = None
+        if entries[cur] != exits[cur]:
+            after = min(into.get(exits[cur], ()), key=place.__getitem__, default=None)
+            if after is not None:
+                at, other = place[after], order[j + 1]
+                order[j + 1], order[at] = after, other
+                place[after], place[other] = j + 1, at
+        if after is None and j < len(order) - 1:
+            out.append(0)
+            moved = order[j + 1]
+            order.append(moved)
+            place[moved] = len(order) - 1
+            order[j + 1] = -1
+            j += 1
+        j += 1
+    return out
+
+
 def assemble_rings(lines: DataFrame) -> DataFrame:
     """``(area, id, left_area, right_area, start_node, end_node, top)`` -> ``(area, ring)``: signed line ids that follow
-    each other, the line of greatest ``top`` first, 0 between rings; negative where the area is on the left."""
-
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[rows.left_area != rows.right_area].sort_values("id")
-        todo = [(r.id if r.right_area == key[0] else -r.id, *((r.start_node, r.end_node) if r.right_area == key[0] else (r.end_node, r.start_node)), r.top) for r in rows.itertuples()]
-        if not todo:
-            return pd.DataFrame({"area": [], "ring": []})
-        lead = max(range(len(todo)), key=lambda k: (todo[k][3], -k))
-        todo[0], todo[lead] = todo[lead], todo[0]
-        out, begin, at = [], todo[0][1], None
-        while todo:
-            k = 0 if at is None else next((k for k, t in enumerate(todo) if t[1] == at), None)
-            if k is None or (at is not None and at == begin):
-                out.append(0)
-                begin, k = todo[0][1], 0
-            cur = todo.pop(k)
-            out.append(int(cur[0]))
-            at = cur[2]
-        return pd.DataFrame({"area": [key[0]], "ring": [out]})
-
-    return lines.groupBy("area").applyInPandas(run, "area long, ring array<long>")
+    each other as in ``walk_rings``; negative where the area is on the left. Lines with one area on both sides bound none.
+
+    Areas travel many to a batch; an area's own lines are one walk and have to be together.
+    """
+    some = lines.filter("left_area <> right_area and (left_area = area or right_area = area)")
+    right = F.col("right_area") == F.col("area")
+    each = some.select("area", F.struct(F.col("id").cast("long").alias("id"), F.when(right, F.col("id")).otherwise(-F.col("id")).cast("long").alias("s"), F.when(right, F.col("start_node")).otherwise(F.col("end_node")).cast("long").alias("entry"), F.when(right, F.col("end_node")).otherwise(F.col("start_node")).cast("long").alias("exit"), F.col("top").cast("double").alias("top")).alias("l"))
+    packed = each.groupBy("area").agg(F.array_sort(F.collect_list("l")).alias("ls")).select(F.col("area").cast("long").alias("area"), "ls")
+
+    def run(batches):
+        for b in batches:
+            ls = b.column("ls")
+            flat, ends = ls.flatten(), np.cumsum([0, *(len(x) for x in ls)])
+            cols = [flat.field(c).to_numpy(zero_copy_only=False).tolist() for c in ("s", "entry", "exit", "top")]
+            rings = [walk_rings(*(c[lo:hi] for c in cols)) for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("area"), pa.array(rings, pa.list_(pa.int64()))], ["area", "ring"])
+
+    return packed.mapInArrow(run, "area long, ring array<long>")
+
+
+def islands(rings: DataFrame) -> DataFrame:
+    """``(area, islands)``: how many rings follow the first."""
+    return rings.select("area", F.size(F.filter("ring", lambda k: k == 0)).alias("islands"))
+
+
+def northmost(lines: DataFrame) -> DataFrame:
+    """``(area, id)``: of the lines ``(id, left_area, right_area, top)`` on either side of an area the first that reaches furthest north."""
+    sides = lines.select(F.explode(F.array("left_area", "right_area")).alias("area"), "id", "top")
+    return sides.groupBy("area").agg(F.max_by("id", F.struct("top", -F.col("id"))).alias("id"))
+
+
+def renumbered(nodes: DataFrame, entities: DataFrame) -> DataFrame:
+    """``nodes(file, id)`` and ``entities(file, ne)`` -> ``(file, ne, new_id)``: a file's gaps among its node ids from 1 on
+    are taken up, in order, by its entity nodes, and what is left of them follows the last id."""
+    from pyspark.sql.window import Window
+
+    counted = nodes.groupBy("file").agg(F.max("id").alias("most")).join(entities.groupBy("file").agg(F.count("*").alias("more")), "file", "full")
+    every = counted.select("file", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("most", F.lit(0)) + F.coalesce("more", F.lit(0)))).alias("id"))
+    w = lambda c: Window.partitionBy("file").orderBy(c)
+    gaps = every.join(nodes.select("file", "id"), ["file", "id"], "left_anti").withColumn("k", F.row_number().over(w("id")))
+    return entities.withColumn("k", F.row_number().over(w("ne"))).join(gaps, ["file", "k"]).select("file", "ne", F.col("id").alias("new_id"))
+
+
+def repointed(lines: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Lines ``(file, ..., ne)`` of entity nodes begin and end at the nodes' new numbers; lines without ``ne`` stay."""
+    rest = [c for c in lines.columns if c not in ("ne", "start_node", "end_node")]
+    met = lines.join(numbers, ["file", "ne"], "left")
+    return met.select(*rest, *(F.coalesce("new_id", F.col(c).cast("long")).alias(c) for c in ("start_node", "end_node")))
+
+
+def with_attributes(features: DataFrame, attributes: DataFrame) -> DataFrame:
+    """``features(file, id, seq, module, rcid)`` and ``attributes(file, module, rcid, k, major, minor)`` -> ``(file, id, attrs)``:
+    what a feature's links lead to, in the order of links and records; a link to nothing says nothing."""
+    met = features.join(attributes, ["file", "module", "rcid"])
+    return met.groupBy("file", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "k", "major", "minor"))), lambda t: F.struct(t["major"], t["minor"])).alias("attrs"))
+
+
+def polygon_attributes(areas: DataFrame, polygons: DataFrame, attributes: DataFrame) -> DataFrame:
+    """``areas(file, id, poly)`` by ``polygons(file, poly, seq, module, rcid)`` to the attributes of their polygons."""
+    return with_attributes(areas.join(polygons, ["file", "poly"]).select("file", "id", "seq", "module", "rcid"), attributes)
+
+
+def overlaps(sw_lat: Column, sw_lon: Column, ne_lat: Column, ne_lon: Column, box: tuple[float, float, float, float], touching: bool) -> Column:
+    """Whether a tile meets ``box`` (south, west, north, east); ``touching``: an edge in common is enough (line graphs),
+    else it is not (elevation models)."""
+    south, west, north, east = box
+    if touching:
+        return ~((sw_lat > north) | (ne_lat < south) | (sw_lon > east) | (ne_lon < west))
+    return ~((sw_lat >= north) | (ne_lat <= south) | (sw_lon >= east) | (ne_lon <= west))
+
+
+def areas_to_fill(areas: DataFrame, rules) -> DataFrame:
+    """Areas ``(id, attrs, ...)`` that a rule of kind A selects by an attribute or, as major BY_ID, by id; without such rules
+    none, and without attributes never."""
+    by_id = F.lit(False)
+    for major, minor in _kind(rules, "A"):
+        by_id = by_id | (F.lit(major == BY_ID) & (F.col("id") == minor))
+    return areas.filter((F.size("attrs") > 0) & (matches_rules(F.col("attrs"), [r for r in rules if r[1] != BY_ID], "A") | by_id))
+
+
+def fill_areas(pixels: DataFrame, areas: DataFrame, rules, color: int) -> DataFrame:
+    """``pixels(box, x, y, color)`` of a graph's box and its ``areas(box, id, x, y, attrs)`` in pixels -> the pixels to paint."""
+    return flood_fill(pixels, areas_to_fill(areas, rules).select("box", "x", "y"), color)

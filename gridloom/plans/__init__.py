@@ -1,3 +1,3 @@
 """Registered queries; importing the package registers them."""
 
-from . import queries  # noqa: F401
+from . import map_queries, queries  # noqa: F401

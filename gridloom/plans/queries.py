@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import color, geodesy, text
-from ..operators import attributes, grid, vector
-from ..sources import gnis
+from ..operators import attributes, grid, image, vector
+from ..sources import gnis, sdts
 from .carriers import geo_points, grid_cells, line_attrs, line_pts, table, topology, with_views
 from .registry import query
 
@@ -113,7 +113,8 @@ def quad_name(spark, d):
 
 @query("latlon_to_pixel", f"{PTS} select id, cast(-1 + round((lon + 125) * 600 / 58) as int) as x, cast(399 - round((lat - 24) * 400 / 25) as int) as y from geo_points")
 def latlon_to_pixel(spark, d):
-    return geo_points(spark, d).select("id", (-1 + F.round((F.col("lon") + 125) * 600 / 58)).cast("int").alias("x"), (399 - F.round((F.col("lat") - 24) * 400 / 25)).cast("int").alias("y"))
+    x, y = image.to_pixel(F.col("lat"), F.col("lon"), image.Frame((24.0, -125.0, 49.0, -67.0), 600, 400))
+    return geo_points(spark, d).select("id", x.alias("x"), y.alias("y"))
 
 
 # Place names
@@ -164,7 +165,7 @@ def grid_minmax_loc(spark, d):
 
 @query("grid_tile_stats", f"{CELLS} select cast(floor(i / 16.0) as int) as ti, cast(floor(j / 16.0) as int) as tj, count(elev) as n, min(elev) as lo, max(elev) as hi from grid_cells group by 1, 2")
 def grid_tile_stats(spark, d):
-    return grid_cells(spark, d).groupBy(F.floor(F.col("i") / 16).cast("int").alias("ti"), F.floor(F.col("j") / 16).cast("int").alias("tj")).agg(F.count("elev").alias("n"), F.min("elev").alias("lo"), F.max("elev").alias("hi"))
+    return grid.tile_stats(grid_cells(spark, d))
 
 
 @query("grid_profiles", f"{CELLS} select j, count(elev) as n, coalesce(min(elev), 100000) as lo, coalesce(max(elev), -100000) as hi from grid_cells group by 1")
@@ -236,11 +237,12 @@ def grid_void_fill(spark, d):
     return grid.fill_voids(grid_cells(spark, d))
 
 
-_NEAR = f"{CELLS}, n as (select c.i, c.j, c.elev, case when c.elev is null or u.elev is null or w.elev is null then null else greatest((w.elev - c.elev) / 120.0::double, (u.elev - c.elev) / 90.0::double, -1e10::double) end as g from grid_cells c left join grid_cells u on u.i = c.i - 1 and u.j = c.j left join grid_cells w on w.i = c.i - 1 and w.j = c.j - 1)"
+_NEAR = f"{CELLS}, n as (select c.i, c.j, c.elev, case when c.elev is null or u.elev is null or w.elev is null then null else greatest((w.elev - c.elev) / (sqrt(2.0::double / 2880000) * sqrt(pow(110950.0::double, 2) + pow(111320.0::double * cos(radians(60.0::double - c.i / 1200.0::double)), 2))), (u.elev - c.elev) / (110950.0::double / 1200), -1e10::double) end as g from grid_cells c left join grid_cells u on u.i = c.i - 1 and u.j = c.j left join grid_cells w on w.i = c.i - 1 and w.j = c.j - 1)"
 
 
 def _gradient(spark, d):
-    return grid.gradient(grid_cells(spark, d), 90.0, 120.0)
+    """1200 rows a degree, the first at 60 degrees north."""
+    return grid.gradient(grid_cells(spark, d), 110950.0 / 1200, grid.row_spacing(F.col("i"), 60.0, 1.0, 1.0, 1200, 1200))
 
 
 @query("grid_gradient", f"{_NEAR} select i, j, round(g, 9) as gradient from n")
@@ -358,7 +360,7 @@ def attr_uniq(spark, d):
 def attr_decode_flags(spark, d):
     names = [r[3] for r in attributes.FEATURES if r[0] < 9]
     name = F.element_at(F.array(*map(F.lit, names)), (F.col("p_partkey") % 9 + 1).cast("int"))
-    rows = table(spark, d, "part").filter("p_partkey % 9 <> 7").select(F.col("p_partkey").alias("id"), F.lit(20).alias("category"), name.alias("label"), F.when(F.col("p_size") % 2 == 0, "Y").otherwise("N").alias("value"))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit(20).alias("category"), name.alias("label"), F.when(F.col("p_size") % 2 == 0, "Y").otherwise("N").alias("value"))
     return attributes.decode(rows).select("id", "major", "minor")
 
 
@@ -369,18 +371,70 @@ def attr_decode_codes(spark, d):
     return attributes.decode(rows).select("id", "major", "minor")
 
 
-@query("attr_township", "select p_partkey as id, case when p_partkey % 3 = 1 then 303 else 302 end as major, cast(p_size + case p_partkey % 2 when 0 then 0 else 4000 end as int) as minor from part")
+_VALUES = ("Y", "N", "12", "-9", "-999.99", "-35.5", "T", "S", "12045", "7 1/2S", "3 1/4N", "11AE", "9 3/4W", "E", "O", "U", "", "8", "D", "4 1/2W")
+_ENTRIES = ", ".join(f"({k}, {c}, '{n}', '{attributes.kind_of(k, m)}', {major}, {m}, {attributes.OFFSETS.get(k, 0)}, {attributes.ELEVATIONS.get(k, (0, 0))[0]}, {attributes.ELEVATIONS.get(k, (0, 0))[1]}, {attributes.MONUMENTS.get(k, major)})" for k, c, major, n, m in attributes.FEATURES)
+_LETTER_ROWS = ", ".join(f"({k}, '{t[0]}', {t[1:]})" for k, v in attributes.LETTERS.items() for t in v.split())
+_BLANKS = ", ".join(f"'{b}'" for b in attributes.BLANKS)
+
+
+@query("attr_decode_all", f"""with f(key, category, name, kind, major, minor, off, up, down, mon) as (values {_ENTRIES}), l(key, ch, code) as (values {_LETTER_ROWS}),
+t as (select p_partkey as id, f.*, list_extract([{", ".join(f"'{v}'" for v in _VALUES)}], cast((p_partkey // 117 + p_size) % {len(_VALUES)} as int) + 1) as v from part join f on f.key = p_partkey % 117),
+u as (select t.*, l.code, try_cast(nullif(regexp_extract(v, '^[-+]?[0-9]+'), '') as int) as n, try_cast(v as double) as r, v not in ({_BLANKS}) as good, regexp_extract(v, '^[-+]?[0-9]+ ([123]/[24])', 1) as q, regexp_extract(v, '^[-+]?[0-9]+(?: (?:1/4|1/2|3/4))? *(.?)', 1) as side from t left join l on l.key = t.key and l.ch = substr(v, 1, 1)),
+w as (select *, case q when '1/4' then 2000 when '1/2' then 4000 when '3/4' then 6000 else 0 end as part from u)
+select id, 0 as seq, cast(case kind when 'elevation' then case when r < 0 then down else up end when 'split' then 93 when 'monument' then mon when 'township' then case when side = 'S' then 303 else 302 end when 'range' then case when side = 'W' then 305 else 304 end else major end as int) as major,
+  cast(case kind when 'flag' then minor when 'letter' then code when 'offset' then n + off when 'elevation' then round(abs(r)) when 'rounded' then round(r) when 'split' then floor(n / 1000.0) when 'township' then n + part when 'range' then n + part else n end as int) as minor
+from w where case kind when 'flag' then v like 'Y%' when 'letter' then code is not null when 'elevation' then good and r is not null when 'rounded' then good and r is not null else good and n is not null end
+union all select id, 1, 94, n % 1000 from w where kind = 'split' and good and n is not null""")
+def attr_decode_all(spark, d):
+    """Every entry of the dictionary with values of every shape."""
+    k = F.col("p_partkey")
+    entry = F.element_at(F.array(*(F.struct(F.lit(r[1]).alias("category"), F.lit(r[3]).alias("label")) for r in attributes.FEATURES)), (k % 117 + 1).cast("int"))
+    value = F.element_at(F.array(*map(F.lit, _VALUES)), ((F.floor(k / 117) + F.col("p_size")) % len(_VALUES) + 1).cast("int"))
+    rows = table(spark, d, "part").select(k.alias("id"), entry.alias("e"), value.alias("value")).select("id", "e.category", "e.label", "value")
+    return attributes.decode(rows).select("id", "seq", "major", "minor")
+
+
+@query("attr_township", "select p_partkey as id, case when p_partkey % 5 < 4 and p_partkey % 4 = 1 then 303 else 302 end as major, cast(p_size + case p_partkey % 5 when 1 then 2000 when 2 then 4000 when 3 then 6000 else 0 end as int) as minor from part")
 def attr_township(spark, d):
+    """Whole and broken townships, north, south, of another letter or none; an A behind the number means nothing."""
     k = F.col("p_partkey")
-    value = F.concat(F.col("p_size").cast("string"), F.when(k % 2 == 0, "").otherwise(" 1/2"), F.when(k % 3 == 0, "N").when(k % 3 == 1, "S").otherwise(""))
+    pick = lambda n, *words: F.element_at(F.array(*map(F.lit, words)), (k % n + 1).cast("int"))
+    value = F.concat(F.col("p_size").cast("string"), pick(5, "", " 1/4", " 1/2", " 3/4", "A"), pick(4, "N", "S", "X", ""))
     rows = table(spark, d, "part").select(k.alias("id"), F.lit(300).alias("category"), F.lit("TOWNSHIP").alias("label"), value.alias("value"))
     return attributes.decode(rows).select("id", "major", "minor")
 
 
-@query("attr_route", "select p_partkey as id, case p_partkey % 3 when 0 then 172 when 1 then 173 else 174 end as major, cast(p_size as int) as minor from part")
+@query("attr_route", """with t as (select p_partkey as id, p_partkey % 6 as f, cast(p_size as int) as n from part)
+select id, 0 as k, case f when 0 then 172 when 1 then 173 when 2 then 177 when 3 then 176 when 4 then 175 else 177 end as major, case f when 2 then 1 when 5 then 203 when 4 then 0 else n end as minor from t
+union all select id, 1, case f when 1 then 177 when 2 then 174 when 3 then 177 end, case f when 1 then 1 when 2 then n when 3 then 2 end from t where f in (1, 2, 3)""")
 def attr_route(spark, d):
-    k = F.col("p_partkey")
-    return table(spark, d, "part").select(k.alias("id"), attributes.route(F.concat(F.when(k % 3 == 0, "I ").when(k % 3 == 1, "US ").otherwise("SR "), F.col("p_size").cast("string"))).alias("r")).select("id", "r.major", "r.minor")
+    """Numbers alone, with a letter behind or in front, letters alone, and a jurisdiction without a number."""
+    k, n = F.col("p_partkey"), F.col("p_size").cast("string")
+    value = F.element_at(F.array(F.concat(F.lit("I "), n), F.concat(F.lit("US "), n, F.lit("A")), F.concat(F.lit("SR A"), n), F.concat(F.lit("CR "), n, F.lit(" B")), F.lit("RR"), F.lit("BC")), (k % 6 + 1).cast("int"))
+    return table(spark, d, "part").select(k.alias("id"), F.posexplode(attributes.route(value)).alias("k", "r")).select("id", "k", "r.major", "r.minor")
+
+
+@query("attr_route_type", "select p_partkey as id, 170 as major, list_extract([615, 616, 617, 619, 620, 621, 622], cast(p_partkey % 8 as int) + 1) as minor from part where p_partkey % 8 < 7")
+def attr_route_type(spark, d):
+    words = [w for w, _ in attributes.ROUTE_TYPES] + ["Other"]
+    word = F.rpad(F.element_at(F.array(*map(F.lit, words)), (F.col("p_partkey") % 8 + 1).cast("int")), 9, " ")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), attributes.route_type(word).alias("t")).filter("t is not null").select("id", "t.major", "t.minor")
+
+
+@query("attr_main_codes", """with t as (select p_partkey as id, cast(p_size as int) as n, case when p_partkey % 2 = 0 then 1.0::double else -1.0::double end * p_size * 411.3::double as v from part)
+select id, n % 9 * 50 + 20 as label_major, n * 7 as label_minor, case when v < 0 then 25 else 24 end as m_major, cast(round(abs(v)) as int) as m_minor,
+  case when v < 0 then 23 when round(abs(v)) > 9999 then 21 else 22 end as f_major, cast(case when v >= 0 and round(abs(v)) > 9999 then round(abs(v)) - 10000 else round(abs(v)) end as int) as f_minor, n + 9 as c_major, n % 4 as c_minor from t""")
+def attr_main_codes(spark, d):
+    n = F.col("p_size").cast("int")
+    v = F.when(F.col("p_partkey") % 2 == 0, 1.0).otherwise(-1.0) * F.col("p_size") * 411.3
+    t = table(spark, d, "part").select(F.col("p_partkey").alias("id"), attributes.entity_label(F.format_string("%03d%04d", n % 9 * 50 + 20, n * 7)).alias("l"), attributes.elevation_metres(v).alias("m"), attributes.elevation_feet(v).alias("f"), attributes.coincident(n, n % 4).alias("c"))
+    return t.select("id", *(F.col(f"{a}.{b}").alias(f"{name}_{b}") for a, name in (("l", "label"), ("m", "m"), ("f", "f"), ("c", "c")) for b in ("major", "minor")))
+
+
+@query("theme_category", "select p_partkey as id, list_extract([90, 50, 20, 170, 200, 300, null], cast(p_partkey % 7 as int) + 1) as category from part")
+def theme_category(spark, d):
+    word = F.element_at(F.array(*map(F.lit, ("BOUNDARIES", "Hydrography", "HYPSOGRAPHY", "ROADS AND TRAILS", "MANMADE FEATURES", "PUBLIC LAND SURVEYS", "other"))), (F.col("p_partkey") % 7 + 1).cast("int"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), attributes.theme_category(word).alias("category"))
 
 
 # Topology
@@ -400,32 +454,45 @@ def area_line_list(spark, d):
 
 @query("area_northmost", f"{_TOPO} select area, arg_max(id, (top, -id)) as id from (select left_area as area, id, top from topology union all select right_area, id, top from topology) group by 1")
 def area_northmost(spark, d):
-    t = topology(spark, d)
-    both = t.select(F.col("left_area").alias("area"), "id", "top").union(t.select("right_area", "id", "top"))
-    return both.groupBy("area").agg(F.max_by("id", F.struct("top", -F.col("id"))).alias("id"))
+    return vector.northmost(topology(spark, d))
+
+
+_NUMBERS = """n as (select c_custkey % 7 as file, cast(floor(c_custkey / 7) as bigint) + 1 as id from customer), kept as (select * from n where id % 10 <> 3), e as (select s_suppkey % 7 as file, s_suppkey as ne, row_number() over (partition by s_suppkey % 7 order by s_suppkey) as k from supplier),
+m as (select file, max(id) as most from kept group by 1), c as (select file, count(*) as more from e group by 1), every as (select file, unnest(range(1, coalesce(most, 0) + coalesce(more, 0) + 1)) as id from m full join c using (file)),
+g as (select file, id, row_number() over (partition by file order by id) as k from (select * from every except select * from kept)), r as (select e.file, e.ne, g.id as new_id from e join g using (file, k))"""
+
 
+def _numbers(spark, d):
+    k = F.col("c_custkey")
+    ids = table(spark, d, "customer").select((k % 7).alias("file"), (F.floor(k / 7) + 1).cast("long").alias("id")).filter("id % 10 <> 3")
+    return vector.renumbered(ids, table(spark, d, "supplier").select((F.col("s_suppkey") % 7).alias("file"), F.col("s_suppkey").alias("ne")))
 
-@query("node_renumber", "with h as (select c_custkey as id, row_number() over (order by c_custkey) as k from customer where c_custkey % 10 = 3), e as (select s_suppkey as ne, row_number() over (order by s_suppkey) as k from supplier) select e.ne, h.id as new_id from e join h using (k)")
+
+@query("node_renumber", f"with {_NUMBERS} select file, ne, new_id from r")
 def node_renumber(spark, d):
-    """Gaps among node ids taken up, in order, by the entity nodes; the lists of gaps and nodes are one file's."""
-    ids = table(spark, d, "customer").select(F.col("c_custkey").alias("id")).filter("id % 10 <> 3")
-    span = table(spark, d, "customer").agg(F.max("c_custkey").alias("m"))
-    holes = span.select(F.explode(F.sequence(F.lit(0), F.col("m"))).alias("id")).join(ids, "id", "left_anti")
-    rank = lambda df, c: df.withColumn("k", F.row_number().over(Window.orderBy(c)))
-    return rank(table(spark, d, "supplier").select(F.col("s_suppkey").alias("ne")), "ne").join(rank(holes, "id"), "k").select("ne", F.col("id").alias("new_id"))
+    """Gaps among the node ids of seven files taken up, in order, by their entity nodes."""
+    return _numbers(spark, d)
+
+
+@query("node_repoint", f"with {_NUMBERS}, l as (select ps.o_orderkey as id, ps.o_custkey % 7 as file, case when o_orderkey % 2 = 0 then o_orderkey % 50 end as ne, o_custkey as node from orders ps) select l.file, l.id, coalesce(r.new_id, l.node) as start_node, coalesce(r.new_id, l.node) as end_node from l left join r on r.file = l.file and r.ne = l.ne")
+def node_repoint(spark, d):
+    lines = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 7).alias("file"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") % 50).alias("ne"), F.col("o_custkey").alias("start_node"), F.col("o_custkey").alias("end_node"))
+    return vector.repointed(lines, _numbers(spark, d)).select("file", "id", "start_node", "end_node")
 
 
-@query("poly_attr_chain", "select o_orderkey as area, n_nationkey as poly, r_name as attr from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where o_orderkey % 7 = 0")
+@query("poly_attr_chain", "select o_orderkey as id, n_regionkey || '.' || n_nationkey as attrs from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey")
 def poly_attr_chain(spark, d):
+    """Areas of all orders to their polygon (customer) and its attribute record (nation)."""
     t = lambda n: table(spark, d, n)
-    areas = t("orders").filter("o_orderkey % 7 = 0").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return areas.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("o_orderkey").alias("area"), F.col("n_nationkey").alias("poly"), F.col("r_name").alias("attr"))
+    areas = t("orders").select(F.lit(0).alias("file"), F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("poly"))
+    polys = t("customer").select(F.lit(0).alias("file"), F.col("c_custkey").alias("poly"), F.lit(0).alias("seq"), F.lit("AHYD").alias("module"), F.col("c_nationkey").alias("rcid"))
+    attrs = t("nation").select(F.lit(0).alias("file"), F.lit("AHYD").alias("module"), F.col("n_nationkey").alias("rcid"), F.lit(0).alias("k"), F.col("n_regionkey").alias("major"), F.col("n_nationkey").alias("minor"))
+    return vector.polygon_attributes(areas, polys, attrs).select("id", F.array_join(F.transform("attrs", lambda a: F.concat_ws(".", a["major"].cast("string"), a["minor"].cast("string"))), " ").alias("attrs"))
 
 
 @query("record_id_fill", "select event_id, last_value(case when event_type = 'error' then event_id end ignore nulls) over (partition by user_id order by event_id) as record from events")
 def record_id_fill(spark, d):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return table(spark, d, "events").select("event_id", F.last(F.when(F.col("event_type") == "error", F.col("event_id")), ignorenulls=True).over(w).alias("record"))
+    return sdts.forward_fill(table(spark, d, "events"), ("user_id",), ("event_id",), F.when(F.col("event_type") == "error", F.col("event_id")), "record").select("event_id", "record")
 
 
 # Segments and pixels
@@ -454,10 +521,10 @@ def seg_clip(spark, d):
 
 
 def _short(spark, d):
-    return vector.segments(line_pts(spark, d)).filter("line % 50 = 0").select("line", "pos", *(F.floor(F.col(c) / 10).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")))
+    return vector.segments(line_pts(spark, d)).select("line", "pos", *(F.floor(F.col(c) / 100).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")))
 
 
-_DRAW = f"""{_LP}, g as (select line, pos, cast(floor(x1 / 10) as int) as x1, cast(floor(y1 / 10) as int) as y1, cast(floor(x2 / 10) as int) as x2, cast(floor(y2 / 10) as int) as y2 from s where x2 is not null and line % 50 = 0),
+_DRAW = f"""{_LP}, g as (select line, pos, cast(floor(x1 / 100) as int) as x1, cast(floor(y1 / 100) as int) as y1, cast(floor(x2 / 100) as int) as x2, cast(floor(y2 / 100) as int) as y2 from s where x2 is not null),
 k as (select *, greatest(abs(x2 - x1), abs(y2 - y1)) as n, unnest(range(0, greatest(abs(x2 - x1), abs(y2 - y1)) + 1)) as k from g),
 p as (select distinct line, pos, cast(case when k = n then x2 else round(x1 + k * ((x2 - x1)::double / n)) end as int) as x, cast(case when k = n then y2 else round(y1 + k * ((y2 - y1)::double / n)) end as int) as y from k)"""
 
@@ -491,14 +558,19 @@ def ring_assembly(spark, d):
     return vector.assemble_rings(lines)
 
 
+_BOX4 = (35.0, -110.0, 40.0, -90.0)
+
+
 @query("tile_overlap_dem", f"{PTS} select id from geo_points where not (lat >= 40 or lat + 1 <= 35 or lon >= -90 or lon + 1 <= -110)")
 def tile_overlap_dem(spark, d):
-    return geo_points(spark, d).filter(~((F.col("lat") >= 40) | (F.col("lat") + 1 <= 35) | (F.col("lon") >= -90) | (F.col("lon") + 1 <= -110))).select("id")
+    lat, lon = F.col("lat"), F.col("lon")
+    return geo_points(spark, d).filter(vector.overlaps(lat, lon, lat + 1, lon + 1, _BOX4, touching=False)).select("id")
 
 
 @query("tile_overlap_dlg", f"{PTS} select id from geo_points where not (lat > 40 or lat + 1 < 35 or lon > -90 or lon + 1 < -110)")
 def tile_overlap_dlg(spark, d):
-    return geo_points(spark, d).filter(~((F.col("lat") > 40) | (F.col("lat") + 1 < 35) | (F.col("lon") > -90) | (F.col("lon") + 1 < -110))).select("id")
+    lat, lon = F.col("lat"), F.col("lon")
+    return geo_points(spark, d).filter(vector.overlaps(lat, lon, lat + 1, lon + 1, _BOX4, touching=True)).select("id")
 
 
 @query("file_dispatch", "select p_partkey as id, case p_partkey % 4 when 0 then 'sdts_dem' when 1 then 'gtopo30' when 2 then 'classic' else 'sdts_dem' end as fmt, p_partkey % 4 = 3 as gz from part")
