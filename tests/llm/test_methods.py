@@ -207,8 +207,38 @@ def test_language_model_is_normalised_and_base_is_exact(spark):
         base = sum(np.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in lm.tokens(t))
         assert got[k].base_score == pytest.approx(base, abs=1e-6) and got[k].train_tokens == n
         assert got[k].n_known == sum(w in counts for w in lm.tokens(t)) and got[k].held_out == (crc32(str(k).encode()) % 10 == 0)
-    model = lm.fit(np.array([[1.0, 8, 1], [2, 0, 9], [5, 5, 1]]), np.array([0.3, 0.4, 0.3]))
-    assert np.allclose((10 ** model.log10_table()).sum(1), 1) and model.log10_table()[0].argmax() == 1
+    scores = {r.doc_id: r.score for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), short_list=5, head=30, places=900).collect()}
+    train = [(k, t) for k, t in rows if crc32(str(k).encode()) % 10]
+    own = [*[w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:5]]]
+    own += [lm.END] * (lm.END not in own)
+    short = {w: k for k, w in enumerate(own)}
+    mass = np.full(lm.ENDINGS, 0.1)
+    for w, c in counts.items():
+        if w not in short:
+            mass[lm.ending(w)] += c + 0.1
+    row = lambda w: short.get(w, len(short) + lm.ending(w))
+    places = []
+    for _, t in train:
+        ids = np.array([row(w) for w in lm.tokens(t)])
+        take = np.random.default_rng(crc32(t.encode())).random(len(ids)) < min(1, 900 / n)
+        places += [tuple(x) for x in lm.with_context(ids, short[lm.END])[take]]
+    m = lm.fit(np.array(sorted(places)), np.concatenate([[counts[w] + 0.1 for w in own], mass]))
+
+    def word(a, b, w):
+        s = (m.vectors[a] @ m.turns[0] + m.vectors[b] @ m.turns[1]) @ m.targets.T + m.bias
+        p = np.exp(s[row(w)]) / np.exp(s).sum()
+        return p if w in short else p * (counts[w] + 0.1) / mass[lm.ending(w)]
+
+    for k, t in rows[:40]:
+        before, want = [short[lm.END]] * 2, 0.0
+        for w in lm.tokens(t):
+            want += np.log10(word(*before, w))
+            before = [before[1], row(w)]
+        assert scores[k] == pytest.approx(want, rel=1e-4, abs=1e-3)
+    unseen = {lm.ending(w): w for w in (f"zz{x}{y}{z}".encode() for x in "abcdefghijklmnop" for y in "abcdefghijklmnop" for z in "abcdefghijklmnop")}
+    assert len(unseen) == lm.ENDINGS and not set(unseen.values()) & set(counts)
+    unseen = {e: unseen[e] for e in range(lm.ENDINGS)}
+    assert sum(word(0, 1, w) for w in [*counts, *unseen.values()]) == pytest.approx(1, abs=1e-6)
 
 
 def test_rake_meets_marginals(spark):
@@ -228,3 +258,21 @@ def test_archive_bytes_come_back(spark):
     for k, t in texts.items():
         assert b"".join(bytes(r.data) for r in rows if r.page_id == k).decode() == t
     assert max(r.chunk_bytes for r in rows) <= warc.CHUNK and sum(r["last"] for r in rows) == 3
+
+
+def test_templates_at_any_depth(spark):
+    """Branches that part below fifty shared segments get verdicts of their own, in a few steps."""
+    deep = "/y" * 50
+    rows = [("h", f"{deep}/good/{k}", 1) for k in range(30)] + [("h", f"{deep}/bad/{k}", 0) for k in range(30)] + [("g", "/z" * 3000, None), ("e", "", None)]
+    tree = urltree.templates(spark.createDataFrame(rows, "host string, path string, good int"), Scratch(spark, "t"))
+    pure = {r.template: r.purity for r in urltree.purity(tree).collect()}
+    assert pure[f"{deep}/good/*"] > 0.9 and pure[f"{deep}/bad/*"] < 0.1 and "/z" * 3000 in pure and "" in pure
+
+
+def test_rake_to_given_weights(spark):
+    rows = [(f"s{a}", f"l{b}", f"t{c}", 100 + 37 * a + 11 * b + 5 * c * a, 10) for a in range(3) for b in range(3) for c in range(2)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long, docs long")
+    fit = mixing.rake(cells, Scratch(spark, "t"), shares={"source": {"s0": 1, "s1": 3}}).toPandas()
+    share = fit.groupby("source").weight.sum() / fit.weight.sum()
+    assert share["s0"] == pytest.approx(0.25, abs=2e-3) and share["s1"] == pytest.approx(0.75, abs=2e-3) and share["s2"] == 0
+    assert mixing.misfit(spark.createDataFrame(fit)) <= mixing.CLOSE
