@@ -166,27 +166,39 @@ def _level(spans: DataFrame, scratch: Scratch, size: int, window: int) -> DataFr
     return joined.mapInPandas(keep, "doc_id long, at int, ws array<long>")
 
 
-def _later(spans: DataFrame, scratch: Scratch, window: int) -> DataFrame:
-    """``(doc_id, starts)``: starts of windows that also start earlier, by doc_id and then place. Two hashes of 64 bits name a window."""
+def _later(spans: DataFrame, scratch: Scratch, window: int, last: str) -> DataFrame:
+    """``(doc_id, starts)``: starts of windows that also start earlier, by doc_id and then place. Hashes of 64 and 32 bits name a window."""
 
     def rows(batches):
         for b in batches:
             row = Row(_words(b), window)
             at = np.flatnonzero(row.live)
             k = row.owner[at]
-            h, g = (window_hashes(w, window)[at].view(np.int64) for w in (row.words, mixed(row.words * MIX + np.uint64(3))))
-            yield pd.DataFrame({"h": h, "g": g, "doc_id": b["doc_id"].to_numpy()[k], "at": (b["at"].to_numpy()[k] + row.place[at]).astype(np.int32)})
+            h, g = (window_hashes(w, window)[at] for w in (row.words, mixed(row.words * MIX + np.uint64(3))))
+            yield pd.DataFrame({"h": h.view(np.int64), "g": (g >> np.uint64(32)).astype(np.uint32).view(np.int32), "doc_id": b["doc_id"].to_numpy()[k], "at": (b["at"].to_numpy()[k] + row.place[at]).astype(np.int32)})
 
-    each = scratch.save(spans.mapInPandas(rows, "h long, g long, doc_id long, at int"), "windows")
+    each = scratch.save(spans.mapInPandas(rows, "h long, g int, doc_id long, at int"), "windows")
+    scratch.drop(last)
     first = scratch.save(each.groupBy("h", "g").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("h", "g", "f"), "first")
     later = each.join(first, ["h", "g"]).filter((F.col("doc_id") != F.col("f.doc_id")) | (F.col("at") != F.col("f.at")))
     return later.groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """``(doc_id)`` of documents whose whole text a document of smaller id has: all their windows start earlier there, and
+    whatever starts earlier in them starts earlier still in that one. So they need no windows."""
+    named = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.sha2("text", 256).alias("name"))
+    first = named.groupBy("name").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("name", "first")
+    return named.join(first, "name").filter("doc_id > first").select("doc_id").distinct()
+
+
 def repeated_starts(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
-    """``(doc_id, starts)`` for documents with a window that also starts earlier."""
+    """``(doc_id, starts, whole)`` for documents with a window that also starts earlier; whole: all of them do."""
     sizes = levels(window)
     named = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    same = scratch.save(copies(named), "copies")
+    drawn = scratch.save(picture(same), "copies-picture")
+    named = pictured(named, drawn, inside=False).union(pictured(named, drawn).join(same, "doc_id", "left_anti"))
     rows = scratch.save(_first_level(named, sizes[0], window), "rows")
     hs = scratch.save(_repeated(rows, scratch, "first"), "repeated")
     scratch.drop("rows", "often-first")
@@ -197,8 +209,9 @@ def repeated_starts(docs: DataFrame, scratch: Scratch, window: int = WINDOW) ->
         more = scratch.save(_level(spans, scratch, size, window), f"spans-{size}")
         scratch.drop(f"rows-{size}", f"often-{size}", f"spans-{size // 2}")
         spans = more
-    starts = scratch.save(_later(spans, scratch, window), "starts")
-    scratch.drop("windows", "first", f"spans-{sizes[-2] if len(sizes) > 1 else sizes[0]}")
+    later = _later(spans, scratch, window, f"spans-{sizes[-2] if len(sizes) > 1 else sizes[0]}")
+    starts = scratch.save(later.select("doc_id", "starts", F.lit(False).alias("whole")).union(same.select("doc_id", F.array().cast("array<int>"), F.lit(True))), "starts")
+    scratch.drop("windows", "first")
     return starts
 
 
@@ -232,9 +245,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...]
     def run(batches):
         for b in batches:
             out = []
-            for t, s in zip(b["text"], b["repeat_starts"], strict=True):
+            for t, s, whole in zip(b["text"], b["repeat_starts"], b["repeat_whole"], strict=True):
                 words = plain_words(t)
-                gone = covered(len(words), s, window)
+                gone = np.full(len(words), len(words) >= window) if whole else covered(len(words), s, window)
                 text = b" ".join(w for w, g in zip(words, gone, strict=True) if not g) if gone.any() else b" ".join(words)
                 out.append((len(words), int(gone.sum()), hashlib.sha256(text).hexdigest(), text.decode("utf-8", "replace")))
             got = pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256", "kept_text"], index=b.index)
@@ -246,5 +259,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...]
             yield got
 
     own, drawn = docs.select("doc_id", "text", *held), scratch.save(picture(starts), "starts-picture")
-    plain = pictured(own, drawn, inside=False).withColumn("repeat_starts", F.lit(None).cast("array<int>"))
-    return plain.union(pictured(own, drawn).join(starts.withColumnRenamed("starts", "repeat_starts"), "doc_id", "left")).mapInPandas(run, schema)
+    plain = pictured(own, drawn, inside=False).withColumns({"repeat_starts": F.lit(None).cast("array<int>"), "repeat_whole": F.lit(False)})
+    return plain.union(pictured(own, drawn).join(starts.select("doc_id", F.col("starts").alias("repeat_starts"), F.col("whole").alias("repeat_whole")), "doc_id", "left")).mapInPandas(run, schema)
