@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color, geodesy
 from ..operators import grid, image, vector
-from ..sources import sdts
+from ..sources import sdts, sinks
 from .carriers import geo_points, grid_cells, table, with_views
 from .queries import CELLS, PTS, forward_sql
 from .registry import query
@@ -412,3 +412,10 @@ def sdts_producer(spark, d):
 def sdts_layer(spark, d):
     k = F.col("p_partkey")
     return table(spark, d, "part").select(k.alias("id"), sdts.layer_of(F.format_string("x/1107CEL%d.DDF", (k % 10).cast("int"))).alias("cell"), sdts.layer_of(F.format_string("x/HY01LE%02d.ddf.gz", (k % 60).cast("int")), 2).alias("line"))
+
+
+@query("info_lines", f"{PTS} select id, name || '.dem' || chr(9) || lpad(substr(class, 1, 40), 40, ' ') || chr(9) || printf('%.6g:%.6g:%.6g:%.6g', lat, lon + 1, lat + 1, lon) || chr(9) || id || ':' || (id + 100) || chr(9) || '1201:1201' || chr(9) || case when id % 2 = 0 then 'linefeeds=yes' else 'linefeeds=no' end as line from geo_points")
+def info_lines(spark, d):
+    i, lat, lon = F.col("id"), F.col("lat"), F.col("lon")
+    line = sinks.model_line(F.concat("name", F.lit(".dem")), F.col("class"), (lat, lon + 1, lat + 1, lon), i, i + 100, F.lit(1201), F.lit(1201), i % 2 == 0)
+    return geo_points(spark, d).select("id", line.alias("line"))

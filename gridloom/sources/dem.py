@@ -117,6 +117,57 @@ def encode(title: str, zone: int, x0: float, y0: float, res: float, grid: list[l
     return out
 
 
+def encode_tiles(cells: DataFrame, heads: DataFrame) -> DataFrame:
+    """``cells(file, i, j, elev)`` and ``heads(file, title, zone, x0, y0, res)`` -> ``(file, content)``: a classic model of each
+    tile. A tile's cells are together, as a file is written from end to end."""
+    rows = cells.groupBy("file", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "elev"))), lambda t: t["elev"]).alias("row"))
+    tiles = rows.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "row"))), lambda t: t["row"]).alias("grid")).join(heads, "file")
+
+    def run(batches):
+        for b in batches:
+            data = [encode(t, int(z), x, y, r, [[None if pd.isna(v) else int(v) for v in row] for row in g]) for t, z, x, y, r, g in zip(b["title"], b["zone"], b["x0"], b["y0"], b["res"], b["grid"], strict=True)]
+            yield pd.DataFrame({"file": b["file"], "content": data})
+
+    return tiles.select("file", "title", "zone", "x0", "y0", "res", "grid").mapInPandas(run, "file string, content binary")
+
+
+def one_degree(title: str, cols: int, rows: int) -> None:
+    """Refuses what is no one-degree model: it has 1201 rows and 401, 601 or 1201 columns, and a sheet code in its title."""
+    if rows != 1201 or cols not in (401, 601, 1201):
+        raise ValueError(f"a one-degree model has 1201 rows and 401, 601 or 1201 columns, not {rows} and {cols}")
+    if not re.search(r"[NS][A-Z]\d\d-\d\d[EW]", title):
+        raise ValueError("the title holds no sheet code")
+
+
+def read_one_degree(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """One-degree models in one call: ``(tile, seq, sw_lat, sw_lon, ne_lat, ne_lon, rows, cols)`` and
+    ``(tile, i, j, elev)``, narrow ones with columns set between theirs. Files of another shape are left out."""
+    from ..functions.geodesy import sheet_corners
+    from ..operators.grid import interpolate_columns
+
+    head = read_headers(spark, path).filter("plane_ref = 0").withColumn("at", sheet_corners(F.col("title")))
+    good = head.filter("at is not null and cols in (401, 601, 1201)").select("file", "cols", "plane_ref", "elev_units", F.lit(3.0 / 3600).alias("y_res"), F.when(F.col("cols") > 0, F.lit(1.0) / (F.col("cols") - 1)).alias("x_res"), "at.*")
+    some = read_profiles(spark, path).join(good.select("file"), "file", "left_semi")
+    each = some.join(good.select("file", "elev_units"), "file").select("file", "elev_units", F.col("col").alias("j"), F.posexplode("samples").alias("k", "v"))
+    metres = F.when(F.col("elev_units") == 1, F.round(F.col("v") * FOOT).cast("int")).otherwise(F.col("v"))
+    cells = each.select("file", (1200 - F.col("k")).alias("i"), "j", F.when(~F.col("v").isin(*VOIDS), metres).alias("elev"))
+    out = None
+    for n, times in ((1201, 1), (601, 2), (401, 3)):
+        own = cells.join(good.filter(F.col("cols") == n).select("file"), "file", "left_semi")
+        # A row of one file is one row of the grid that is widened.
+        wide = own if times == 1 else interpolate_columns(own.withColumn("i", F.struct("file", "i")), times).select("i.file", "i.i", "j", "elev")
+        wide = wide.select("file", "i", "j", "elev")
+        out = wide if out is None else out.union(wide)
+    tiles = good.select(F.col("file").alias("tile"), F.dense_rank().over(_by_file()).alias("seq"), *(F.col(c).cast("double").alias(c) for c in ("sw_lat", "sw_lon", "ne_lat", "ne_lon")), F.lit(1201).alias("rows"), F.lit(1201).alias("cols"))
+    return tiles, out.select(F.col("file").alias("tile"), "i", "j", "elev")
+
+
+def _by_file():
+    from pyspark.sql.window import Window
+
+    return Window.orderBy("file")  # a row per file
+
+
 def unblock(data: bytes, record: int = RECORD, check_blank: bool = True) -> bytes:
     """Sets the last byte of every record to a newline; a file that has newlines already is refused."""
     if b"\n" in data:

@@ -104,3 +104,38 @@ def test_transfer_from_files(spark, tmp_path):
     assert sdts.lines(sub.filter("false")).count() == 0 and sdts.dem_meta(sub.filter("false")).count() == 0
     bad = sdts.rejects(sdts.dem_meta(sub)).first()
     assert "title" in bad.reason
+
+
+def test_models_out_of_tiles_and_back(spark, tmp_path):
+    import zipfile
+
+    from gridloom.sources import dem, sinks
+
+    cells = spark.createDataFrame([("a.dem", i, j, None if (i + j) % 5 == 0 else 10 * i + j) for i in range(3) for j in range(4)], "file string, i int, j int, elev int")
+    heads = spark.createDataFrame([("a.dem", "BOZEMAN", 12, 480000.0, 5066000.0, 30.0)], "file string, title string, zone int, x0 double, y0 double, res double")
+    done = sinks.write_files(dem.encode_tiles(cells, heads), str(tmp_path)).collect()
+    assert done[0].bytes == (tmp_path / "a.dem").stat().st_size
+    back = dem.to_cells(dem.read_profiles(spark, str(tmp_path / "a.dem")), dem.read_headers(spark, str(tmp_path / "a.dem")))
+    assert {(r.i, r.j): r.elev for r in back.collect()} == {(r.i, r.j): r.elev for r in cells.collect()}
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.write(tmp_path / "a.dem", "a.dem")
+    assert iso8211.unpack((tmp_path / "a.zip").read_bytes()) == (tmp_path / "a.dem").read_bytes()
+    text = sinks.scene(0, 700, "a.pgm")
+    assert "[ 0.000001 Band0 ]" in text and "Band2 ]" in text and "Band3 ]" not in text
+    sinks.write_lines(spark.createDataFrame([("x|y",)], "raw string"), str(tmp_path / "names"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "names")).collect()] == ["x|y"]
+    with pytest.raises(ValueError):
+        dem.one_degree("NONE", 1201, 1201)
+
+
+def test_one_degree_models(spark, tmp_path):
+    """A model of 401 columns and 1201 rows, constant along a column."""
+    from gridloom.sources import dem
+
+    data = bytearray(dem.encode("BOZEMAN NL12-08W", 0, 0.0, 0.0, 3.0, [[9 * j for j in range(401)] for _ in range(1201)]))
+    data[156:162] = b"     0"
+    (tmp_path / "one.dem").write_bytes(bytes(data))
+    tiles, cells = dem.read_one_degree(spark, str(tmp_path / "one.dem"))
+    assert tiles.select("rows", "cols", (F.col("ne_lat") - F.col("sw_lat")).alias("d")).first() == (1201, 1201, 1.0)
+    got = cells.agg(F.count("*"), F.max("j"), F.max("i"), F.min(F.when(F.col("j") == 4, F.col("elev"))), F.max(F.when(F.col("j") == 4, F.col("elev")))).first()
+    assert tuple(got) == (1201 * 1201, 1200, 1200, 12, 12)
