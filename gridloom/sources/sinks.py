@@ -74,12 +74,12 @@ def model_line(file: Column, title: Column, corners: tuple[Column, Column, Colum
     return F.concat_ws("\t", file, F.lpad(F.substring(title, 1, 40), 40, " "), where, F.concat_ws(":", low.cast("string"), high.cast("string")), F.concat_ws(":", cols.cast("string"), rows.cast("string")), F.when(feeds, "linefeeds=yes").otherwise("linefeeds=no"))
 
 
-def graph_line(file: Column, name: Column, theme: Column, corners: tuple[Column, Column, Column, Column], feeds: Column) -> Column:
-    """The same for a line graph: file, name, theme, south-east and north-west corner, line ends."""
+def graph_line(file: Column, name: Column, theme: Column, corners: tuple[Column, Column, Column, Column], feeds: Column, postal: Column | None = None) -> Column:
+    """The same for a line graph: file, name, postal codes where they are given, theme, south-east and north-west corner, line ends."""
     from ..operators.image import general
 
     where = F.concat_ws(":", *(general(c, 6) for c in corners))
-    return F.concat_ws("\t", file, F.trim(name), F.rtrim(F.substring(theme, 1, 20)), where, F.when(feeds, "linefeeds=yes").otherwise("linefeeds=no"))
+    return F.concat_ws("\t", file, F.trim(name), *([] if postal is None else [postal]), F.rtrim(F.substring(theme, 1, 20)), where, F.when(feeds, "linefeeds=yes").otherwise("linefeeds=no"))
 
 
 def scene(low: int, high: int, height_field: str, palette: int = color.DEFAULT_PALETTE, sea: tuple[int, int, int] = (50, 50, 255)) -> str:

@@ -64,6 +64,41 @@ def test_line_graph_round_trip(spark, tmp_path):
     assert (rows["N", 1].pts[0].x, rows["A", 3].attrs[0].minor, rows["L", 2].left_area) == (5.5, 101, 4)
 
 
+def test_line_graph_headers_and_writer(spark, tmp_path):
+    head = {"name": "BOZEMAN", "postal": "MT WY", "zone": 12, "datum": 1, "theme": "HYDROGRAPHY"}
+    head |= {f"{k}_{c}": v for c, at in {"sw": (45.75, -111.25, 480554.09, 5066083.19), "nw": (46.0, -111.25, 480640.5, 5093860.0), "ne": (46.0, -111.0, 500000.0, 5093828.25), "se": (45.75, -111.0, 500000.0, 5066051.5)}.items() for k, v in zip(("lat", "lon", "x", "y"), at, strict=True)}
+    lines = [(1, 1, 2, 1, 2, [(1.0, 2.0), (3.0, 4.0)], [(50, 412)]), (2, 2, 1, 1, 2, [(3.0, 4.0), (1.0, 2.0)], []), (3, 1, 1, 2, 2, [(1.0, 2.0), (5.0, 5.0), (1.0, 2.0)], [])]
+    good = graph.encode("x", [(1, 1.0, 2.0, []), (2, 3.0, 4.0, [(1, 2)])], [(2, 7.0, 8.0, [], [1, 2, 0, 3])], lines, head)
+    (tmp_path / "good.opt").write_bytes(good)
+    (tmp_path / "lines.opt").write_text("\n".join(good.decode()[k : k + 80].rstrip() for k in range(0, len(good), 80)) + "\n")
+    (tmp_path / "zone.opt").write_bytes(graph.encode("Z", [], [], [], head | {"zone": 61}))
+    (tmp_path / "plane.opt").write_bytes(graph.encode("P", [], [], [], head | {"plane_ref": 3, "zone": 9999}))
+    (tmp_path / "short.opt").write_bytes(b"S".ljust(80))
+    assert good[80:].startswith(b"BOZEMAN, MT WY  ") and len(good) % 80 == 0
+    text = good.decode()
+    recs = [text[k : k + 80] for k in range(15 * 80, len(text), 80)]
+    assert recs[0][36:42].strip() == "4" and recs[1].split() == ["1", "-2", "3", "-3"]
+    area = next(k for k, r in enumerate(recs) if r[0] == "A")
+    assert (recs[area][36:42], recs[area][60:66]) == ("     4", "     1") and recs[area + 1].split() == ["1", "2", "0", "3"]
+    heads = graph.read_headers(spark, str(tmp_path / "*.opt"))
+    got = {r.file.rpartition("/")[2]: r for r in heads.collect()}
+    for name in ("good.opt", "lines.opt"):
+        r = got[name]
+        assert {k: r[k] for k in head} == head and (r.plane_ref, r.n_nodes, r.n_areas, r.n_lines, r.reject) == (1, 2, 1, 3, None)
+        assert r.linefeeds == (name == "lines.opt")
+    assert got["zone.opt"].reject == "no zone 61" and "not UTM" in got["plane.opt"].reject and got["short.opt"].reject.startswith("fewer")
+    line = sinks.graph_line(F.lit("a.opt"), F.col("name"), F.col("theme"), tuple(F.col(c) for c in ("lat_se", "lon_se", "lat_nw", "lon_nw")), F.col("linefeeds"), F.col("postal"))
+    assert heads.filter("linefeeds and reject is null").select(line.alias("l")).first().l == "a.opt\tBOZEMAN\tMT WY\tHYDROGRAPHY\t45.75:-111:46:-111.25\tlinefeeds=yes"
+    assert graph.read(spark, str(tmp_path / "lines.opt")).drop("file").collect() == graph.read(spark, str(tmp_path / "good.opt")).drop("file").collect()
+    rows = graph.read(spark, str(tmp_path / "good.opt"))
+    file = rows.first().file
+    rings = spark.createDataFrame([(file, 2, [1, 2, 0, 3])], "file string, area long, ring array<long>")
+    again = graph.encode_graphs(rows, heads.filter(F.col("file") == file), rings).collect()
+    assert len(again) == 1 and bytes(again[0].content) == good
+    empty = graph.encode_graphs(rows.filter("false"), heads.filter(F.col("file") == file), rings).first()
+    assert graph.parse_header(bytes(empty.content))["n_lines"] == 0 and len(empty.content) == 15 * 80
+
+
 def test_rules_dispatch_and_sinks(spark, tmp_path):
     (tmp_path / "rules").write_text("# c\nN 1 2\nL  50 -1 water\n A 90 1\nA\t90 100 towns\nL 170 203")
     assert {tuple(r) for r in graph.read_rules(spark, str(tmp_path / "rules")).collect()} == {("L", 50, -1), ("A", 90, 100), ("L", 170, 203)}
