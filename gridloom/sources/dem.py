@@ -201,23 +201,41 @@ def tile_header(text: str) -> dict:
     return {"rows": rows, "cols": cols, "bits": int(h["NBITS"]), "nodata": int(float(h.get("NODATA", -9999))), "nw_lat": north, "nw_lon": west, "se_lat": float(math.floor(north - dy * rows + 0.5)), "se_lon": float(math.floor(west + dx * cols + 0.5)), "x_res": dx, "y_res": dy}
 
 
-def tile_cells(data: bytes, head: dict, window: tuple[int, int, int, int] | None = None):
-    """Yields a frame per row of the window (rows and columns, ends excluded): north first, no data is 0."""
+def tile_window(head: dict, south: float, west: float, north: float, east: float) -> tuple[int, int, int, int] | None:
+    """The rows and columns (ends excluded) of a tile that lie in a box; none where the two do not overlap."""
+    if head["se_lat"] >= north or head["nw_lat"] <= south or head["nw_lon"] >= east or head["se_lon"] <= west:
+        return None
+    row = lambda lat: math.floor(head["rows"] * (head["nw_lat"] - lat) / (head["nw_lat"] - head["se_lat"]) + 0.5)
+    col = lambda lon: math.floor(head["cols"] * (lon - head["nw_lon"]) / (head["se_lon"] - head["nw_lon"]) + 0.5)
+    return row(min(north, head["nw_lat"])), row(max(south, head["se_lat"])), col(max(west, head["nw_lon"])), col(min(east, head["se_lon"]))
+
+
+def tile_cells(data: bytes, head: dict, window: tuple[int, int, int, int] | None = None, edge: bool = False):
+    """Yields a frame per row of the window (rows and columns, ends excluded): north first, no data is 0.
+
+    With ``edge`` one more row and column follow, those next to the window or, where the tile ends, its last ones again.
+    An empty window has none.
+    """
     i0, i1, j0, j1 = window or (0, head["rows"], 0, head["cols"])
+    i0, i1, j0, j1 = max(0, i0), min(i1, head["rows"]), max(0, j0), min(j1, head["cols"])
     kind, step = (">i2", 2) if head["bits"] == 16 else ("u1", 1)
-    for i in range(max(0, i0), min(i1, head["rows"])):
-        row = np.frombuffer(data, kind, head["cols"], i * head["cols"] * step)[max(0, j0) : j1].astype(np.int32)
-        yield pd.DataFrame({"i": np.int32(i), "j": np.arange(max(0, j0), max(0, j0) + len(row), dtype=np.int32), "elev": np.where(row == head["nodata"], 0, row)})
+    if i0 >= i1 or j0 >= j1:
+        return
+    j = np.arange(j0, j1 + edge, dtype=np.int32)
+    for i in range(i0, i1 + edge):
+        at = min(i, head["rows"] - 1) * head["cols"] * step
+        row = np.frombuffer(data, kind, head["cols"], at)[np.minimum(j, head["cols"] - 1)].astype(np.int32)
+        yield pd.DataFrame({"i": np.int32(i), "j": j, "elev": np.where(row == head["nodata"], 0, row)})
 
 
-def read_tile(spark: SparkSession, hdr_path: str, dem_path: str, window=None) -> DataFrame:
-    """Cells of one tile; the window limits the rows and columns that leave the reader."""
+def read_tile(spark: SparkSession, hdr_path: str, dem_path: str, window=None, edge: bool = False) -> DataFrame:
+    """Cells of one tile; the window limits the rows and columns that leave the reader, to which ``edge`` adds one each."""
     head = tile_header("\n".join(r.value for r in spark.read.text(hdr_path).limit(200).collect()))
 
     def run(batches):
         for b in batches:
             for p, c in zip(b["path"], b["content"], strict=True):
-                for f in tile_cells(unpack(c), head, window):
+                for f in tile_cells(unpack(c), head, window, edge):
                     yield f.assign(file=p)[["file", "i", "j", "elev"]]
 
     return spark.read.format("binaryFile").load(dem_path).select("path", "content").mapInPandas(run, CELLS)

@@ -50,6 +50,12 @@ def test_tile(spark, tmp_path):
     assert (head["nw_lat"], head["nw_lon"], head["se_lat"]) == (40.0, -100.0, 39.0)
     got = {(r.i, r.j): r.elev for r in dem.read_tile(spark, str(tmp_path / "t.hdr"), str(tmp_path / "t.dem"), (1, 3, 1, 4)).collect()}
     assert got == {(1, 1): 5, (1, 2): 6, (1, 3): 7, (2, 1): 9, (2, 2): 0, (2, 3): 11}
+    cells = lambda window: {(r.i, r.j): r.elev for r in dem.read_tile(spark, str(tmp_path / "t.hdr"), str(tmp_path / "t.dem"), window, True).collect()}
+    grid = [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9, 0, 11]]
+    assert dem.tile_window(head, 39.7, -99.6, 41.0, -99.0) == (0, 1, 1, 2) and dem.tile_window(head, 40.0, -100.0, 41.0, -99.0) is None
+    assert dem.tile_window(head, 39.5, -100.0, 40.0, -98.0) == (0, 2, 0, 4)  # 3 rows on one degree: 1.5 goes away from zero
+    assert cells((0, 2, 1, 3)) == {(i, j): grid[i][j] for i in (0, 1, 2) for j in (1, 2, 3)}
+    assert cells(None) == {(i, j): grid[min(i, 2)][min(j, 3)] for i in range(4) for j in range(5)} and cells((2, 2, 0, 4)) == {}
     with pytest.raises(ValueError):
         dem.tile_header(HDR.replace("NBITS 16", "NBITS 12"))
 
