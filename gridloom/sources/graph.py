@@ -29,6 +29,13 @@ def _int(s: str) -> int:
     return int(m[0]) if m else 0
 
 
+def _field(v: float, width: int, spec: str = "d") -> str:
+    text = f"{v:{width}{spec}}"
+    if len(text) > width:
+        raise ValueError(f"{v} does not fit {width} characters")
+    return text
+
+
 def parse_header(data: bytes) -> dict:
     """What the fifteen records ahead of the nodes say, by the names of HEADER but for file.
 
@@ -70,7 +77,7 @@ def encode_header(head: dict, n_nodes: int, n_areas: int, n_lines: int) -> list[
     for c in CORNERS:
         lat, lon, x, y = (get(f"{k}_{c}", 0.0) for k in ("lat", "lon", "x", "y"))
         out.append(f"{c.upper()}    {lat:12.6f}{lon:12.6f}{'':6}{x:12.2f}{y:12.2f}")
-    out.append(f"{get('theme', ''):20.20}   0{n_nodes:6d}{n_nodes:6d} 010{n_areas:6d}{n_areas:6d} 010{n_lines:6d}{n_lines:6d}   1")
+    out.append(f"{get('theme', ''):20.20}   0{_field(n_nodes, 6) * 2} 010{_field(n_areas, 6) * 2} 010{_field(n_lines, 6) * 2}   1")
     return [x[:RECORD].ljust(RECORD) for x in out]
 
 
@@ -118,7 +125,7 @@ def encode(name: str, nodes: list, areas: list, lines: list, header: dict | None
     """The optional format: nodes (id, x, y, attrs), areas (id, x, y, attrs, and a ring of signed line ids with 0 before each
     island, which may be left out), lines (id, start, end, left, right, pts, attrs), and a header as of ``parse_header``.
 
-    A node lists the lines that start there, and those that end there as negative.
+    A node lists the lines that start there, and those that end there as negative. A number wider than its field is refused.
     """
     out = encode_header({"name": name} | (header or {}), len(nodes), len(areas), len(lines))
     at_node: dict[int, list[int]] = {}
@@ -129,11 +136,11 @@ def encode(name: str, nodes: list, areas: list, lines: list, header: dict | None
     def put(words: list[str], per: int) -> None:
         out.extend("".join(words[k : k + per]).ljust(RECORD) for k in range(0, len(words), per))
 
-    flat = lambda attrs: [f"{v:6d}" for p in attrs for v in p]
+    flat = lambda attrs: [_field(v, 6) for p in attrs for v in p]
 
     def point(kind: str, i: int, x: float, y: float, attrs: list, ring: list) -> None:
-        out.append(f"{kind}{i:5d}{x:12.2f}{y:12.2f}{'':6}{len(ring):6d}{'':6}{len(attrs):6d}{ring.count(0) if kind == 'A' else 0:12d}".ljust(RECORD))
-        put([f"{v:6d}" for v in ring], WORDS)
+        out.append(f"{kind}{_field(i, 5)}{_field(x, 12, '.2f')}{_field(y, 12, '.2f')}{'':6}{_field(len(ring), 6)}{'':6}{_field(len(attrs), 6)}{ring.count(0) if kind == 'A' else 0:12d}".ljust(RECORD))
+        put([_field(v, 6) for v in ring], WORDS)
         put(flat(attrs), 2 * PAIRS)
 
     for i, x, y, attrs in nodes:
@@ -141,8 +148,8 @@ def encode(name: str, nodes: list, areas: list, lines: list, header: dict | None
     for i, x, y, attrs, *ring in areas:
         point("A", i, x, y, attrs, list(ring[0]) if ring else [])
     for i, a, b, left, right, pts, attrs in lines:
-        out.append(f"L{i:5d}{a:6d}{b:6d}{left:6d}{right:6d}{'':12}{len(pts):6d}{len(attrs):6d}".ljust(RECORD))
-        put([f"{v:12.2f}" for p in pts for v in p], 2 * POINTS)
+        out.append(f"L{_field(i, 5)}{''.join(_field(v, 6) for v in (a, b, left, right))}{'':12}{_field(len(pts), 6)}{_field(len(attrs), 6)}".ljust(RECORD))
+        put([_field(v, 12, ".2f") for p in pts for v in p], 2 * POINTS)
         put(flat(attrs), 2 * PAIRS)
     return "".join(out).encode("latin-1", "replace")
 

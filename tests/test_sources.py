@@ -96,6 +96,9 @@ def test_line_graph_headers_and_writer(spark, tmp_path):
     line = sinks.graph_line(F.lit("a.opt"), F.col("name"), F.col("theme"), tuple(F.col(c) for c in ("lat_se", "lon_se", "lat_nw", "lon_nw")), F.col("linefeeds"), F.col("postal"))
     assert heads.filter("linefeeds and reject is null").select(line.alias("l")).first().l == "a.opt\tBOZEMAN\tMT WY\tHYDROGRAPHY\t45.75:-111:46:-111.25\tlinefeeds=yes"
     assert graph.read(spark, str(tmp_path / "lines.opt")).drop("file").collect() == graph.read(spark, str(tmp_path / "good.opt")).drop("file").collect()
+    for wide in ([(100_000, 0.0, 0.0, [])], [(1, 1e10, 0.0, [])], [(1, 0.0, 0.0, [(1_000_000, 1)])]):
+        with pytest.raises(ValueError, match="does not fit"):
+            graph.encode("W", wide, [], [])
     rows = graph.read(spark, str(tmp_path / "good.opt"))
     file = rows.first().file
     rings = spark.createDataFrame([(file, 2, [1, 2, 0, 3])], "file string, area long, ring array<long>")
