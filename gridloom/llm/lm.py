@@ -1,14 +1,17 @@
 """Language-model scoring: a log-bilinear model of two words of context, trained in numpy by noise-contrastive estimation.
 
 Every word of the corpus has a row in the model: frequent words one of their own, the others one with the words of the
-same ending, in which each has its smoothed share. Counts are taken over the whole training part of the corpus.
+same ending, in which each has its smoothed share. Counts are taken over the whole training part of the corpus, and the
+vectors are fitted on every place of it: places are dealt into parts, each part goes on from the same model over its share
+of a round, and the parts' models are averaged.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
-from itertools import repeat
+from hashlib import blake2b
+from itertools import chain, repeat
 from zlib import crc32
 
 import numpy as np
@@ -20,11 +23,16 @@ from pyspark.sql import functions as F
 from .common import LOWER_BYTES, Scratch, crc_of, words_of
 
 END = b" end"
-#: Words with an own row, rows of words by their last LETTERS bytes, size of the vectors, and noise words per word.
+#: Words with an own row, rows of words by their last LETTERS bytes, size of the vectors.
 SHORT_LIST, ENDINGS, LETTERS = 256, 256, 3
-WIDTH, NOISE = 16, 8
-#: About so many places of the corpus, dealt evenly over all training tokens, are what the vectors are fitted on.
-PLACES = 500_000
+WIDTH = 16
+#: Places of a step, and the noise words they share.
+BATCH, NOISE = 1024, 64
+#: About so many places make a part, as long as there are no more than PARTS; a part is fitted in ROUNDS shares or more,
+#: none above PART. A corpus below PART is one share, passed again up to PASSES times.
+PART, PARTS, ROUNDS, PASSES = 1 << 21, 512, 4, 512
+#: A longer text is dealt in pieces of so many places.
+PIECE = 1 << 14
 #: Words whose counts travel to every task; rarer ones are joined.
 HEAD = 100_000
 ADD = 0.1
@@ -105,6 +113,44 @@ def sample_places(docs: DataFrame, short: dict[bytes, int], rate: float) -> np.n
     return places[np.lexsort(places.T[::-1])]
 
 
+def wide_for(rows: int):
+    return np.uint16 if rows <= 1 << 16 else np.uint32
+
+
+def deal(docs: DataFrame, short: dict[bytes, int], parts: int, rounds: int) -> DataFrame:
+    """Every place of ``docs(doc_id, text)`` once: ``(round, part, h, ids)``, a piece of a text a row, as rows of the model
+    behind the two before it. A piece is dealt by a hash of id, text and offset, so copies do not meet in one part."""
+    end, wide = short[END], wide_for(len(short) + ENDINGS)
+
+    def run(batches):
+        rows = Rows(short)
+        for b in batches:
+            out = []
+            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                words = _raw_tokens(t)
+                ids = np.fromiter(chain((end, end), map(rows.__getitem__, words)), wide, len(words) + 2)
+                name = blake2b(f"{d} ".encode())
+                name.update(t or b"")
+                for k in range(0, len(words), PIECE):
+                    h = int.from_bytes(blake2b(name.digest() + k.to_bytes(8), digest_size=8).digest()) >> 1
+                    out.append((h // parts % rounds, h % parts, h, ids[k : k + PIECE + 2].tobytes()))
+            if out:
+                r, p, h, ids = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(p, pa.int32()), pa.array(h, pa.int64()), pa.array(ids, pa.binary())], ["round", "part", "h", "ids"])
+
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(run, "round int, part int, h long, ids binary")
+
+
+def places_of(pieces: list[bytes], wide) -> np.ndarray:
+    """(two words before, word before, word) of every place of pieces from ``deal``."""
+    every = np.concatenate([np.frombuffer(p, wide) for p in pieces]).astype(np.intp)
+    first = np.cumsum([0, *(len(p) // np.dtype(wide).itemsize for p in pieces[:-1])])
+    place = np.ones(len(every), bool)
+    place[first] = place[first + 1] = False
+    w = np.flatnonzero(place)
+    return np.stack([every[w - 2], every[w - 1], every[w]], 1)
+
+
 @dataclass
 class Model:
     """vectors: context rows; turns: what turns the vector of each place of the context; targets and bias: the words' side."""
@@ -114,6 +160,15 @@ class Model:
     targets: np.ndarray
     bias: np.ndarray
 
+    def flat(self, dtype=np.float64) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in (self.vectors, self.turns, self.targets, self.bias)]).astype(dtype)
+
+    @classmethod
+    def of(cls, flat: np.ndarray, rows: int, width: int) -> Model:
+        """The model whose arrays are views of ``flat``."""
+        v, t, u, b = np.split(flat, np.cumsum([rows * width, 2 * width * width, rows * width]))
+        return cls(v.reshape(rows, width), t.reshape(2, width, width), u.reshape(rows, width), b)
+
     def tables(self, rows: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(far, near, total): the score of a word is far[a, w] + near[b, w] after the words a and b, and total[a, b] the
         logarithm of all words' sum there, from batched matrix products over every context."""
@@ -127,35 +182,91 @@ class Model:
         return far.astype(np.float32), near.astype(np.float32), total
 
 
-def fit(places: np.ndarray, unigram: np.ndarray, width: int = WIDTH, noise: int = NOISE, steps: int = 500, batch: int = 2048, rate: float = 0.02, seed: int = 5) -> Model:
-    """NCE: tell the word of each place from ``noise`` words drawn from the unigram distribution. places: rows of (a, b, w)."""
+def start(unigram: np.ndarray, width: int = WIDTH, seed: int = 5) -> Model:
     k, rng = len(unigram), np.random.default_rng(seed)
-    draw, shift = np.cumsum(unigram / unigram.sum()), np.log(noise * unigram / unigram.sum())
-    m = Model(rng.standard_normal((k, width)) * 0.1, np.stack([np.eye(width) * 0.5, np.eye(width)]), rng.standard_normal((k, width)) * 0.1, np.log(unigram / unigram.sum()))
-    params = [m.vectors, m.turns, m.targets, m.bias]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    summed = lambda at, rows, n: np.stack([np.bincount(at, rows[:, c], n) for c in range(rows.shape[1])], 1)
-    for step in range(1, steps + 1 if len(places) else 1):
-        some = places[rng.integers(0, len(places), batch)]
-        a, b = some[:, 0], some[:, 1]
-        va, vb = m.vectors[a], m.vectors[b]
-        guess = va @ m.turns[0] + vb @ m.turns[1]
-        words = np.concatenate([some[:, 2:], np.minimum(np.searchsorted(draw, rng.random((batch, noise))), k - 1)], 1)
-        t = m.targets[words]
-        delta = np.einsum("nd,nwd->nw", guess, t) + m.bias[words] - shift[words]
-        g = 1 / (1 + np.exp(-np.clip(delta, -30, 30)))
-        g[:, 0] -= 1
-        g /= batch
-        back = np.einsum("nw,nwd->nd", g, t)
-        flat = words.ravel()
-        to_words = summed(flat, (g[:, :, None] * guess[:, None, :]).reshape(-1, width), k)
-        to_context = summed(np.concatenate([a, b]), np.concatenate([back @ m.turns[0].T, back @ m.turns[1].T]), k)
-        grads = [to_context + 1e-6 * m.vectors, np.stack([va.T @ back, vb.T @ back]), to_words + 1e-6 * m.targets, np.bincount(flat, g.ravel(), k)]
-        for p, d, x, y in zip(params, grads, first, second, strict=True):
-            x += 0.1 * (d - x)
-            y += 0.001 * (d * d - y)
-            p -= rate * (1 - 0.95 * step / steps) * (x / (1 - 0.9**step)) / (np.sqrt(y / (1 - 0.999**step)) + 1e-10)
-    return m
+    return Model(rng.standard_normal((k, width)) * 0.1, np.stack([np.eye(width) * 0.5, np.eye(width)]), rng.standard_normal((k, width)) * 0.1, np.log(unigram / unigram.sum()))
+
+
+def descend(m: Model, places: np.ndarray, unigram: np.ndarray, seed: tuple[int, ...], passes: int = 1, begin: float = 0.0, finish: float = 1.0, noise: int = NOISE, rate: float = 0.02) -> Model:
+    """NCE: tell the word of each place from ``noise`` words drawn from the unigram distribution, one from each of its
+    equal slices, for all places of a step together. Every row (a, b, w) of places is met once a pass; the rate falls as
+    from ``begin`` to ``finish`` of the whole fit."""
+    (k, width), p, rng = m.vectors.shape, unigram / unigram.sum(), np.random.default_rng(seed)
+    draw, shift, column = np.cumsum(p), np.log(noise * p).astype(np.float32), np.arange(width)
+    flat, f32 = m.flat(np.float32), np.float32
+    grad, first, second = np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(flat)
+    m, g = Model.of(flat, k, width), Model.of(grad, k, width)
+    summed = lambda at, rows: np.bincount((at[:, None] * width + column).ravel(), rows.ravel(), k * width).reshape(k, width).astype(f32)
+    each = -(-len(places) // BATCH)
+    step, steps = 0, each * passes
+    with np.errstate(over="ignore"):
+        for _ in range(passes):
+            for some in np.array_split(rng.permutation(len(places)), each):
+                a, b, w = places[some].T
+                words = np.minimum(np.searchsorted(draw, (np.arange(noise) + rng.random(noise)) / noise), k - 1)
+                guess = (m.vectors @ m.turns[0])[a] + (m.vectors @ m.turns[1])[b]
+                back, others, over = m.targets[w], m.targets[words], m.bias - shift
+                true = f32(-1 / len(some)) / (1 + np.exp(np.einsum("nd,nd->n", guess, back) + over[w]))
+                false = f32(1 / len(some)) / (1 + np.exp(-(guess @ others.T + over[words])))
+                back *= true[:, None]
+                back += false @ others
+                far, near = summed(a, back), summed(b, back)
+                g.vectors[:] = far @ m.turns[0].T + near @ m.turns[1].T
+                g.turns[:] = m.vectors.T @ far, m.vectors.T @ near
+                g.targets[:] = summed(w, guess * true[:, None])
+                np.add.at(g.targets, words, false.T @ guess)
+                g.bias[:] = np.bincount(w, true, k)
+                np.add.at(g.bias, words, false.sum(0))
+                first += f32(0.1) * (grad - first)
+                second += f32(0.001) * (grad * grad - second)
+                now = rate * (1 - 0.95 * (begin + (finish - begin) * step / steps))
+                step += 1
+                flat -= f32(now / (1 - 0.9**step)) * first / (np.sqrt(second / f32(1 - 0.999**step)) + f32(1e-10))
+    return Model.of(flat.astype(np.float64), k, width)
+
+
+def passes_for(n: int) -> int:
+    return min(PASSES, -(-PART // max(1, n)))
+
+
+def fit(places: np.ndarray, unigram: np.ndarray) -> Model:
+    """The model of places that fit in memory: as ``fit_all`` for one part."""
+    m = start(unigram)
+    return descend(m, places, unigram, (0, 0), passes_for(len(places))) if len(places) else m
+
+
+def fit_all(docs: DataFrame, short: dict[bytes, int], unigram: np.ndarray, total: int, scratch: Scratch, part: int = PART) -> tuple[Model, int]:
+    """The model fitted on each of the ``total`` places of ``docs(doc_id, text)``, and how many places were met.
+
+    The result does not depend on how docs are partitioned: parts and rounds follow from ids and texts, a part's places
+    are put in order, and the parts' models are averaged in order, weighted by their places.
+    """
+    m = start(unigram)
+    parts = max(1, min(PARTS, -(-total // part)))
+    rounds = 1 if parts == 1 else max(ROUNDS, -(-total // (parts * part)))
+    passes, wide = passes_for(total) if parts == 1 else 1, wide_for(len(unigram))
+    dealt, met = deal(docs, short, parts, rounds), 0
+    dealt.write.option("compression", "zstd").partitionBy("round").parquet(scratch.path("places"))
+    dealt = docs.sparkSession.read.schema(dealt.schema).parquet(scratch.path("places"))
+    k, width = m.vectors.shape
+
+    def learner(m: Model, r: int):
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            p = int(rows["part"].iloc[0])
+            places = places_of([x for _, x in sorted(zip(rows["h"], rows["ids"], strict=True))], wide)
+            own = descend(m, places, unigram, (r, p), passes, r / rounds, (r + 1) / rounds)
+            return pd.DataFrame({"part": [p], "n": [len(places)], "model": [own.flat(np.float32).tobytes()]})
+
+        return run
+
+    for r in range(rounds):
+        share = dealt.filter(F.col("round") == r).select("part", "h", "ids").repartition(parts, "part")
+        got = sorted(share.groupBy("part").applyInPandas(learner(m, r), "part int, n long, model binary").collect())  # at most PARTS models
+        if got:
+            n = sum(x["n"] for x in got)
+            m, met = Model.of(sum(np.frombuffer(x["model"], np.float32) * (x["n"] / n) for x in got), k, width), met + n
+    scratch.settle()
+    return m, met
 
 
 def held_out():
@@ -163,13 +274,14 @@ def held_out():
     return F.coalesce(crc_of("doc_id") % 10 == 0, F.lit(False))
 
 
-def score_documents(docs: DataFrame, short_list: int = SHORT_LIST, head: int = HEAD, places: int = PLACES) -> DataFrame:
+def score_documents(docs: DataFrame, short_list: int = SHORT_LIST, head: int = HEAD, places: int | None = None) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, a row per row.
 
     P(word | two words before) is the model's probability of the word's row, times, for a word without an own row, its
     smoothed share among the words of its ending; a word that was never seen has the share of one more such word there.
     So all probabilities add up to 1 over the V known words and one unknown word for each ending. Null text is empty:
-    its one token is the end. Without training rows every word is unknown.
+    its one token is the end. Without training rows every word is unknown. The vectors are fitted on every training place;
+    only a caller who names a number of ``places`` gets them from about so many, dealt evenly over the corpus.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
@@ -189,8 +301,13 @@ def score_documents(docs: DataFrame, short_list: int = SHORT_LIST, head: int = H
     mass += ADD
     whole = total + ADD * (kinds + 1)
     unigram = np.concatenate([[heads.get(w, 0) + ADD for w in short], mass])
-    some = sample_places(seen, short, min(1.0, places / max(1, total)))
-    tables = fit(some, unigram).tables()
+    if places is None:
+        model, met = fit_all(seen, short, unigram, total, scratch)
+        if met != total:
+            raise ValueError(f"{met} of {total} training places were fitted")
+    else:
+        model = fit(sample_places(seen, short, min(1.0, places / max(1, total))), unigram)
+    tables = model.tables()
     sent = spark.sparkContext.broadcast((heads, short, tables, np.log10(mass)))
 
     def run(batches):

@@ -241,6 +241,34 @@ def test_language_model_is_normalised_and_base_is_exact(spark):
     assert sum(word(0, 1, w) for w in [*counts, *unseen.values()]) == pytest.approx(1, abs=1e-6)
 
 
+def test_language_model_is_fitted_on_every_place(spark, monkeypatch):
+    from collections import Counter
+
+    rng = random.Random(10)
+    words = lambda n: " ".join(rng.choice(["the", "a", "b", f"r{rng.randrange(80)}"]) for _ in range(n))
+    rows = [(k, words(rng.randint(0, 200))) for k in range(60)] + [(k, "one text that is there many times") for k in range(60, 100)]
+    rows += [(100, words(lm.PIECE + 700)), (101, ""), (102, None), (None, "no id"), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    short = {b"the": 0, b"a": 1, lm.END: 2}
+    want = Counter()
+    for _, t in rows:
+        ids = np.array([short.get(w, 3 + lm.ending(w)) for w in lm.tokens(t)])
+        want.update(map(tuple, lm.with_context(ids, 2).tolist()))
+    pieces = lm.deal(docs, short, 5, 4).collect()
+    got = Counter(tuple(x) for p in pieces for x in lm.places_of([p.ids], lm.wide_for(259)).tolist())
+    assert got == want and {p.part for p in pieces} == set(range(5)) and {p["round"] for p in pieces} == set(range(4))
+    total, unigram = want.total(), np.full(3 + lm.ENDINGS, 1.0)
+    models = [lm.fit_all(docs.repartition(n), short, unigram, total, Scratch(spark, "t"), part=5000) for n in (1, 6)]
+    assert [met for _, met in models] == [total, total] and np.array_equal(models[0][0].flat(), models[1][0].flat())
+    assert not np.array_equal(models[0][0].flat(), lm.fit_all(docs.filter("doc_id <> 100 or doc_id is null"), short, unigram, total, Scratch(spark, "t"), part=5000)[0].flat())
+
+    def sampled(*_):
+        raise AssertionError("the vectors were fitted on a sample")
+
+    monkeypatch.setattr(lm, "sample_places", sampled)
+    assert lm.score_documents(docs).count() == len(rows)
+
+
 def test_rake_meets_marginals(spark):
     rows = [(f"s{a}", f"l{b}", f"t{c}", 100 + 37 * a + 11 * b + 5 * c * a, 10) for a in range(3) for b in range(3) for c in range(2)]
     fit = mixing.rake(spark.createDataFrame(rows, "source string, lang string, topic string, tokens long, docs long"), Scratch(spark, "t")).toPandas()
