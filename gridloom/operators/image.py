@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import color, geodesy
 from . import grid
@@ -168,12 +169,15 @@ def label_place(x: Column, y: Column, length: Column, f: Frame, font: tuple[int,
 
 
 def cursors(points: DataFrame, pixels: DataFrame) -> DataFrame:
-    """Crosses of 13 pixels at ``points(id, x, y)``: white, or black where one of the pixels ``(x, y, color)`` under it is white."""
+    """Crosses of 13 pixels at ``points(id, x, y)``: white, or black where one of the pixels ``(x, y, color)`` under it is white.
+
+    The crosses are told to meet the pixels by a merge: Spark's estimate of an explode leaves out that it makes 13 rows of
+    one, so it would broadcast them. A cross's pixels come together by its id once.
+    """
     arm = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in sorted({(k, 0) for k in range(-3, 4)} | {(0, k) for k in range(-3, 4)}))))
     cross = points.select("id", "x", "y", arm.alias("t")).select("id", (F.col("x") + F.col("t.a")).alias("x"), (F.col("y") + F.col("t.b")).alias("y"))
-    under = cross.join(pixels.select("x", "y", F.col("color").alias("was")), ["x", "y"])
-    own = under.groupBy("id").agg(F.when(F.bool_or(F.col("was") == color.WHITE), color.BLACK).otherwise(color.WHITE).alias("color"))
-    return under.join(own, "id").select("id", "x", "y", "color")
+    under = cross.hint("merge").join(pixels.select("x", "y", F.col("color").alias("was")), ["x", "y"])
+    return under.select("id", "x", "y", F.when(F.bool_or(F.col("was") == color.WHITE).over(Window.partitionBy("id")), color.BLACK).otherwise(color.WHITE).alias("color"))
 
 
 def text_pixels(labels: DataFrame, glyphs: DataFrame, font: tuple[int, int], ink: int, paper: int = -1) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.functions import color
 from gridloom.operators import attributes, grid, image, vector
 from gridloom.sources import iso8211, sdts
 
@@ -139,3 +140,14 @@ def test_one_degree_models(spark, tmp_path):
     assert tiles.select("rows", "cols", (F.col("ne_lat") - F.col("sw_lat")).alias("d")).first() == (1201, 1201, 1.0)
     got = cells.agg(F.count("*"), F.max("j"), F.max("i"), F.min(F.when(F.col("j") == 4, F.col("elev"))), F.max(F.when(F.col("j") == 4, F.col("elev")))).first()
     assert tuple(got) == (1201 * 1201, 1200, 1200, 12, 12)
+
+
+def test_cursors_are_neither_broadcast_nor_split_by_null_ids(spark):
+    """The crosses are 13 times the points, which Spark's estimate of an explode leaves out."""
+    points = spark.createDataFrame([(1, 5, 5), (None, 20, 20)], "id long, x int, y int")
+    pixels = spark.createDataFrame([(x, y, color.WHITE if (x, y) == (22, 20) else 3) for x in range(30) for y in range(30)], "x int, y int, color int")
+    df = image.cursors(points, pixels)
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    got = df.collect()
+    assert {r.id for r in got} == {1, None} and len(got) == 26
+    assert {(r.id, r.color) for r in got} == {(1, color.WHITE), (None, color.BLACK)}
