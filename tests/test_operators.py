@@ -75,6 +75,33 @@ def test_clip_and_draw(spark):
     assert {(r.x, r.y) for r in px.collect()} == {(0, 0), (1, 1), (2, 1), (3, 2), (4, 2), (3, 3)}
 
 
+def test_paint_is_the_composite_of_draw_without_a_shuffle_of_pixels(spark, monkeypatch):
+    rng = random.Random(7)
+    far = lambda: rng.randint(-5000, 5000)
+    rows = [(far(), far(), far(), far(), z, z % 5) for z in range(60)] + [(-1, -1, 2047, -1, 60, 7), (2048, 0, 2048, 4096, 61, 8), (3, 3, 3, 3, 62, 9), (None, 1, 2, 3, 63, 1), (-2050, 7, -2040, 12, None, 4), (9, 9, 12, 9, 64, None)]
+    segs = spark.createDataFrame(rows, "x1 int, y1 int, x2 int, y2 int, z long, color int")
+    both = lambda df: sorted((r.x, r.y, r.color is None, r.color or 0) for r in df.collect())
+    want = both(vector.composite(vector.draw(segs.na.drop(subset=["x1"]))))
+    done = vector.paint(segs)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Exchange ") == 1
+    assert both(done) == want
+    # Small tiles, looked at often: what is hidden is left out, nothing else.
+    monkeypatch.setattr(vector, "TILE", 16)
+    monkeypatch.setattr(vector, "AT_ONCE", 40)
+    crowd = [tuple(rng.randint(-40, 40) for _ in range(4)) + (z, z % 11) for z in range(3000)]
+    tiles = {}
+    for x1, y1, x2, y2, z, color in sorted(crowd, key=lambda r: -r[4]):
+        for tx in range(-3, 3):
+            for ty in range(-3, 3):
+                t = tiles.setdefault((tx, ty), vector._Tile((tx << 32) + ty % (1 << 32)))
+                pair = lambda x, y: np.array([(x << 32) + y % (1 << 32)])
+                t.paint(pair(x1, y1), pair(x2, y2), np.array([color]))
+    got = sorted(r for t in tiles.values() for b in t.rows() for r in zip(*(b.column(c).to_pylist() for c in ("x", "y", "color")), strict=True))
+    assert any(t.free is None for t in tiles.values())
+    assert got == sorted((r.x, r.y, r.color) for r in vector.composite(vector.draw(spark.createDataFrame(crowd, "x1 int, y1 int, x2 int, y2 int, z int, color int"))).collect())
+
+
 def test_fill_stops_at_walls(spark):
     rows = ["..#..", "..#..", "..#.."]
     px = spark.createDataFrame([(1, x, y, 9 if c == "#" else 0) for y, r in enumerate(rows) for x, c in enumerate(r)], "box long, x int, y int, color int")
