@@ -294,11 +294,28 @@ def attributes(subfields: DataFrame, modules: DataFrame) -> DataFrame:
     return both.select("file", "module", "rcid", (F.row_number().over(w) - 1).alias("k"), "major", "minor")
 
 
+def _sizes(subfields: DataFrame) -> DataFrame:
+    """A row per record with what ``counts`` needs of ``_features``: whether it has a number, which one, and how many points and
+    links. All aggregates are of fixed width, so records are put together by hashing ahead of the shuffle, without sorting
+    and without their values."""
+    some = subfields.filter(F.col("module").rlike("^(LE|NO|NE|NA|NP)"))
+    value = number_of(F.col("value"), F.col("format"))
+    id_of = lambda tag: F.min_by(F.when(_is(tag, "RCID", "I"), value), F.when(_is(tag, "RCID", "I"), F.col("seq"))).cast("long")
+    many = lambda tag, label, kinds="IRB": F.count_if(_is(tag, label, kinds))
+    return some.groupBy("file", F.substring("module", 1, 2).alias("kind"), "module", "rec").agg(
+        id_of("LINE").alias("line"), id_of("PNTS").alias("point"),
+        F.greatest(many("SADR", "X"), many("SADR", "Y")).alias("points"), F.greatest(many("ATID", "MODN", "A"), many("ATID", "RCID", "I")).alias("links"),
+    )
+
+
 def counts(subfields: DataFrame) -> DataFrame:
-    """``(file, lines, nodes, areas, points, links)`` of a graph."""
-    ls = lines(subfields).groupBy("file").agg(F.count("*").alias("lines"), F.sum(F.size("pts")).alias("points"))
-    ns = nodes(subfields).groupBy("file").agg(F.count("*").alias("nodes"))
-    ars = areas(subfields).groupBy("file").agg(F.count("*").alias("areas"))
-    lk = links(subfields, "LE", "LINE").groupBy("file").agg(F.count("*").alias("links"))
-    out = ls.join(ns, "file", "left").join(ars, "file", "left").join(lk, "file", "left")
-    return out.select("file", *(F.coalesce(k, F.lit(0)).cast("long").alias(k) for k in ("lines", "nodes", "areas", "points", "links")))
+    """``(file, lines, nodes, areas, points, links)`` of a graph: how many rows ``lines``, ``nodes``, ``areas`` and ``links`` of LE
+    have, out of one pass over the records."""
+    kind, line, point = F.col("kind"), F.col("line").isNotNull(), F.col("point").isNotNull()
+    real, single, node = (kind == "LE") & line, (kind == "NE") & point & (F.col("points") > 0), kind.isin("NO", "NE") & point
+    area = ((kind == "NA") & (F.col("point") != 1)) | ((kind == "NP") & (F.col("point") == 1))
+    sums = _sizes(subfields).groupBy("file").agg(
+        F.count_if(real | single).alias("lines"), F.count_if(node).alias("nodes"), F.count_if(area).alias("areas"),
+        F.sum(F.when(real, F.col("points")).when(single, 2).otherwise(0)).alias("points"), F.sum(F.when(real, F.col("links")).otherwise(0)).alias("links"),
+    )
+    return sums.filter("lines > 0").join(frame(subfields).select("file"), "file", "left_semi").select("file", *(F.col(k).cast("long").alias(k) for k in ("lines", "nodes", "areas", "points", "links")))

@@ -151,3 +151,24 @@ def test_cursors_are_neither_broadcast_nor_split_by_null_ids(spark):
     got = df.collect()
     assert {r.id for r in got} == {1, None} and len(got) == 26
     assert {(r.id, r.color) for r in got} == {(1, color.WHITE), (None, color.BLACK)}
+
+
+def test_counts_take_no_values_along(spark):
+    """The rows of lines, nodes, areas and links, on records that lack numbers, points or a frame, without lists or sorting."""
+    rng = random.Random(3)
+    rows = [(f, "IREF", 1, 0, "IREF", k, "R", b"1") for f in ("a", "b") for k in ("SFAX", "SFAY", "XORG", "YORG")]
+    for f in ("a", "b", "c"):
+        for n, module in enumerate(("LE01", "LE02", "NO01", "NE01", "NA01", "NP01", "PC01")):
+            for rec in range(1, 9):
+                tag = rng.choice(("LINE", "PNTS")) if module != "NE01" else "PNTS"
+                kinds = [(tag, "RCID", "I", rng.choice((b"1", b"7", b"x", b"2.5")))] * rng.randint(0, 2)
+                kinds += [("SADR", rng.choice("XY"), rng.choice(("I", "A")), b"5") for _ in range(rng.randint(0, 4))]
+                kinds += [("ATID", rng.choice(("MODN", "RCID")), rng.choice("AI"), b"3") for _ in range(rng.randint(0, 4))]
+                rows += [(f, module, rec, seq, *k) for seq, k in enumerate(kinds)]
+    sub = spark.createDataFrame(rows, "file string, module string, rec int, seq int, tag string, label string, format string, value binary")
+    n = lambda df: {r[0]: r[1] for r in df.groupBy("file").count().collect()}
+    parts = [n(sdts.lines(sub)), n(sdts.nodes(sub)), n(sdts.areas(sub)), n(sdts.lines(sub).select("file", F.explode("pts"))), n(sdts.links(sub, "LE", "LINE"))]
+    df = sdts.counts(sub)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+    assert {tuple(r) for r in df.collect()} == {(f, *(p.get(f, 0) for p in parts)) for f in parts[0]} and set(parts[0]) == {"a", "b"}
